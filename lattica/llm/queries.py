@@ -16,18 +16,42 @@ def tokenizer_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def op1_rotated_bits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.ann import search
+
+    return search(_read(spark, sf_dir, "embeddings"))
+
+
 def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.licenses import scan
 
     return scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
 
 
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.toxicity import detect
+
+    return detect(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.bpe import encode
 
     return encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
 
 
+def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.simhash import group
+
+    return group(_read(spark, sf_dir, "documents"))
+
+
+def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.quality import classify
+
+    return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.decontam import digest
 
@@ -35,8 +59,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op1_rotated_bits": op1_rotated_bits,
     "op2_license_scan": op2_license_scan,
+    "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op6_simhash_golay": op6_simhash_golay,
+    "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
 }
 
