@@ -40,6 +40,12 @@ def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode(_read(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path()).drop("text")
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.secrets import scan
+
+    return scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 def op6_simhash_golay(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.simhash import group
 
@@ -58,14 +64,22 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op10_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.pii import scan
+
+    return scan(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("text")
+
+
 QUERIES = {
     "op1_rotated_bits": op1_rotated_bits,
     "op2_license_scan": op2_license_scan,
     "op3_toxicity": op3_toxicity,
     "op4_bpe": op4_bpe,
+    "op5_secret_scan": op5_secret_scan,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_quality": op7_quality,
     "op9_decontamination": op9_decontamination,
+    "op10_pii": op10_pii,
 }
 
 #: op2's and the learned operators' rows depend on their method, op4's on its vocabulary: they have brute-force tests.
