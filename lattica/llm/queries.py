@@ -58,6 +58,12 @@ def op7_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"))
 
 
+def op8_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from lattica.llm.html import extract
+
+    return extract(_read(spark, sf_dir, "pages").select("page_id", "url", "html")).select("page_id", "url", "text", "n_chars")
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from lattica.llm.decontam import digest
 
@@ -78,6 +84,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_simhash_golay": op6_simhash_golay,
     "op7_quality": op7_quality,
+    "op8_html_text": op8_html_text,
     "op9_decontamination": op9_decontamination,
     "op10_pii": op10_pii,
 }
