@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from lattica.plans.queries_core import flagship as _flagship
+from lattica.plans.registration import ORACLES, QUERIES
+
+from lattica.plans import queries_data, queries_models, queries_stats  # noqa: E402, F401  they register theirs
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/orders.parquet")
+    return _flagship(spark, sf_dir)
