@@ -80,7 +80,7 @@ def nb_glm(spark: SparkSession, counts: pd.DataFrame, design: np.ndarray, coeffi
     """
     s = size_factors(counts)
     offset, genes = np.log(s), counts[counts.sum(axis=1) > 0]
-    t = pd.DataFrame({"gene": genes.index, "y": [r.astype(float) for r in genes.to_numpy()]})
+    t = pd.DataFrame({"gene": genes.index, "y": [r.astype(float).tolist() for r in genes.to_numpy()]})
     t["block"] = np.arange(len(t)) % blocks
     frame = spark.createDataFrame(t)
 
