@@ -7,11 +7,12 @@ import math
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from lattica.plans.dataset import Dataset
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def two_sided_p(z: pd.Series) -> pd.Series:
     """Two-sided p of a standard normal deviate; null and NaN give 1."""
     return z.map(lambda v: 1.0 if v is None or v != v else math.erfc(abs(v) / math.sqrt(2)))
