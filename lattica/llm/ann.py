@@ -77,16 +77,17 @@ class Codes:
 def nearest(query: np.ndarray, vectors: np.ndarray, ids: np.ndarray, codes: Codes, turn: np.ndarray, k: int, own: int, floor: float = -np.inf) -> tuple[np.ndarray, np.ndarray]:
     """Ids and exact inner products of the k best vectors, best first; floor: lower values can't matter."""
     guess, bound = codes.estimate(query, turn)
-    guess[ids == own] = bound[ids == own] = -np.inf
-    upper = np.where(np.isneginf(guess), -np.inf, guess + bound)
+    others = ids != own
+    upper = guess + bound
+    guess[~others] = -np.inf
     exact = lambda rows: (vectors[rows] * query).sum(1)  # noqa: E731  the same rounding for equal vectors wherever they stand
     first = min(len(guess), 4 * k)
     rows = np.argpartition(-guess, first - 1)[:first]
-    rows = rows[~np.isneginf(guess[rows])]
+    rows = rows[others[rows]]
     values = exact(rows)
     if len(rows) >= k:
         floor = max(floor, np.partition(values, len(values) - k)[len(values) - k])
-    more = upper >= floor
+    more = (upper >= floor) & others
     more[rows] = False
     rest = np.flatnonzero(more)
     if len(rest):
