@@ -19,10 +19,12 @@ def with_position(frame: DataFrame, order: list, name: str = "position") -> Data
     """frame with each row's place (from 0) in a total order, without gathering all rows in one task.
 
     A range sort deals the rows; each partition numbers its own, and the sizes of the partitions before it (one number a
-    partition) are added.
+    partition) are added. The dealt rows are written in between: both reads must see the same partitions.
     """
+    from lattica.sources.store import materialize
+
     ordered = frame.sort(*order).withColumn("_part", F.spark_partition_id())
-    local = ordered.withColumn("_in", F.monotonically_increasing_id() % F.lit(1 << 33))
+    local = materialize(ordered.withColumn("_in", F.monotonically_increasing_id() % F.lit(1 << 33)), "positions")
     sizes = local.groupBy("_part").agg(F.count("*").alias("_size"))
     before = sizes.withColumn("_before", F.coalesce(F.sum("_size").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
     return local.join(F.broadcast(before.select("_part", "_before")), "_part").withColumn(name, F.col("_before") + F.col("_in")).drop("_part", "_in", "_before")

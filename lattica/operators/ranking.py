@@ -37,23 +37,35 @@ def _log2fc(group: str, rest: str, epsilon: float, logged: bool):
     return F.log2((g + epsilon) / (r + epsilon))
 
 
+def value_counts(x: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataFrame, DataFrame]:
+    """(rows by keys, value and extra with their count k; by keys and value the count t, entries before it, entries m).
+
+    Both are aggregations with partial sums before the shuffle, and the window runs over distinct values: a key that
+    holds a large share of all entries isn't gathered entry by entry.
+    """
+    fine = x.groupBy(*keys, "value", *extra).agg(F.count("*").alias("k"))
+    per_value = fine.groupBy(*keys, "value").agg(F.sum("k").alias("t"))
+    before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return fine, per_value.withColumns({"before": before, "m": F.sum("t").over(Window.partitionBy(*keys))})
+
+
 def rank_sum(d: Dataset, by: str, tie_correct: bool = False, logged: bool = False) -> DataFrame:
     """Wilcoxon rank-sum of each group against all other cells, for every expressed gene: z, log2 fold change, means.
 
     Normal approximation without continuity correction; cells without a label join the rest.
     """
     labels = d.read_obs(by)
-    pool = labels.agg(F.count("*").alias("n_pool"))
+    pool = labels.agg(F.count("*").alias("n"))
     sizes = labels.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n1"))
-    ranked = tie_averaged_ranks(d.matrix(), pool, ["gene_ix"])
-    stored = ranked.join(labels, "cell_ix")
-    per_gene = stored.groupBy("gene_ix").agg(
-        F.first("m").alias("m"), F.first("n_pool").alias("n"), F.sum("value").alias("all_sum"),
-        # each of t tied values contributes t^2 - 1, a run of t so contributes t^3 - t
-        F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tie_stored"),
-    )
-    own = stored.filter(F.col(by).isNotNull()).groupBy(by, "gene_ix").agg(F.sum("rank").alias("w"), F.count("*").alias("k"), F.sum("value").alias("s"))
-    out = per_gene.crossJoin(sizes).join(own, [by, "gene_ix"], "left")
+    fine, values = value_counts(d.matrix().join(labels, "cell_ix"), ["gene_ix"], [by])
+    values = values.join(F.broadcast(pool), F.lit(True))  # one row
+    t = F.col("t").cast("double")
+    per_gene = values.groupBy("gene_ix").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum(t * F.col("value")).alias("all_sum"), F.sum(t * t * t - t).alias("tie_stored"))
+    placed = values.select("gene_ix", "value", (F.col("n") - F.col("m") + F.col("before") + (t + 1) / 2).alias("rank"))
+    own = fine.filter(F.col(by).isNotNull()).join(placed, ["gene_ix", "value"]).groupBy(by, "gene_ix").agg(
+        F.sum(F.col("rank") * F.col("k")).alias("w"), F.sum("k").alias("k"), F.sum(F.col("value") * F.col("k")).alias("s")
+    )
+    out = per_gene.crossJoin(sizes).join(own, [by, "gene_ix"], "left")  # genes x groups, the size of the result
     zero = F.lit(0.0)
     z0 = F.col("n") - F.col("m")
     w = F.coalesce("w", zero) + (F.col("n1") - F.coalesce("k", F.lit(0))) * (z0 + 1) / 2
@@ -87,23 +99,27 @@ def rank_genes_groups(d: Dataset, by: str, tie_correct: bool = False, logged: bo
 def pairwise_reference(d: Dataset, by: str, reference: str, epsilon: float = 1e-9, geometric: bool = True) -> DataFrame:
     """Each group against the reference group only: U, z with continuity and tie correction, means, fold and percent change.
 
-    The pool of a test is the group and the reference; the reference's values are ranked once in each pool.
+    The pool of a test is the group and the reference; ranks are taken over distinct values with their counts.
     """
     labels = d.read_obs(by).filter(F.col(by).isNotNull())
     sizes = labels.groupBy(by).agg(F.count("*").alias("n1"))
     ref_n = sizes.filter(F.col(by) == reference).select(F.col("n1").alias("n2"))
     targets = sizes.filter(F.col(by) != reference).join(F.broadcast(ref_n), F.lit(True))  # ref_n is one row
-    x = d.matrix().join(labels, "cell_ix")
-    own = x.filter(F.col(by) != reference).select(F.col(by).alias("target"), "gene_ix", "value", F.lit(True).alias("own"))
-    ref = x.filter(F.col(by) == reference).select("gene_ix", "value").crossJoin(targets.select(F.col(by).alias("target"))).select("target", "gene_ix", "value", F.lit(False).alias("own"))
-    pools = targets.select(F.col(by).alias("target"), "n1", "n2", (F.col("n1") + F.col("n2")).alias("n_pool"))
-    ranked = tie_averaged_ranks(own.unionByName(ref), pools, ["target", "gene_ix"])
+    counted = d.matrix().join(labels, "cell_ix").groupBy("gene_ix", "value", by).agg(F.count("*").alias("k"))
+    zero = F.lit(0).cast("long")
+    own = counted.filter(F.col(by) != reference).select(F.col(by).alias("target"), "gene_ix", "value", F.col("k").alias("a"), zero.alias("b"))
+    # the reference's distinct values, once for each target
+    ref = counted.filter(F.col(by) == reference).crossJoin(targets.select(F.col(by).alias("target"))).select("target", "gene_ix", "value", zero.alias("a"), F.col("k").alias("b"))
+    pooled = own.unionByName(ref).groupBy("target", "gene_ix", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("t", F.col("a") + F.col("b"))
+    key = Window.partitionBy("target", "gene_ix")
+    before = F.coalesce(F.sum("t").over(key.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranked = pooled.withColumns({"before": before, "m": F.sum("t").over(key)}).join(targets.withColumnRenamed(by, "target"), "target")
+    t = F.col("t").cast("double")
+    rank = F.col("n1") + F.col("n2") - F.col("m") + F.col("before") + (t + 1) / 2
     mid = F.log1p("value") if geometric else F.col("value")
     got = ranked.groupBy("target", "gene_ix").agg(
-        F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("m").alias("m"),
-        F.sum(F.when(F.col("own"), F.col("rank")).otherwise(0.0)).alias("w"), F.sum(F.col("own").cast("long")).alias("k"),
-        F.sum(F.when(F.col("own"), mid).otherwise(0.0)).alias("s1"), F.sum(F.when(F.col("own"), 0.0).otherwise(mid)).alias("s2"),
-        F.sum(F.col("ties").cast("double") * F.col("ties") - 1).alias("tie"),
+        F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("m").alias("m"), F.sum(rank * F.col("a")).alias("w"), F.sum("a").alias("k"),
+        F.sum(mid * F.col("a")).alias("s1"), F.sum(mid * F.col("b")).alias("s2"), F.sum(t * t * t - t).alias("tie"),
     )
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
