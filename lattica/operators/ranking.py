@@ -49,23 +49,29 @@ def value_counts(x: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataF
     return fine, per_value.withColumns({"before": before, "m": F.sum("t").over(Window.partitionBy(*keys))})
 
 
-def rank_sum(d: Dataset, by: str, tie_correct: bool = False, logged: bool = False) -> DataFrame:
+def rank_sum(d: Dataset, by: str, tie_correct: bool = False, logged: bool = False, strata: tuple[str, ...] = (), min_cells: int = 1) -> DataFrame:
     """Wilcoxon rank-sum of each group against all other cells, for every expressed gene: z, log2 fold change, means.
 
-    Normal approximation without continuity correction; cells without a label join the rest.
+    Normal approximation without continuity correction; cells without a label join the rest. With strata (columns of
+    cells), every stratum of at least min_cells cells is tested by itself.
     """
-    labels = d.read_obs(by)
-    pool = labels.agg(F.count("*").alias("n"))
-    sizes = labels.filter(F.col(by).isNotNull()).groupBy(by).agg(F.count("*").alias("n1"))
-    fine, values = value_counts(d.matrix().join(labels, "cell_ix"), ["gene_ix"], [by])
-    values = values.join(F.broadcast(pool), F.lit(True))  # one row
+    keys = list(strata)
+    labels = d.read_obs(by, *keys)
+    if keys:
+        kept = labels.groupBy(*keys).agg(F.count("*").alias("n")).filter(F.col("n") >= min_cells)
+        labels = labels.join(kept.select(*keys), keys, "left_semi")
+    pool = labels.groupBy(*keys).agg(F.count("*").alias("n"))
+    sizes = labels.filter(F.col(by).isNotNull()).groupBy(*keys, by).agg(F.count("*").alias("n1"))
+    fine, values = value_counts(d.matrix().join(labels, "cell_ix"), [*keys, "gene_ix"], [by])
+    values = values.join(pool, keys) if keys else values.join(F.broadcast(pool), F.lit(True))  # without strata one row
     t = F.col("t").cast("double")
-    per_gene = values.groupBy("gene_ix").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum(t * F.col("value")).alias("all_sum"), F.sum(t * t * t - t).alias("tie_stored"))
-    placed = values.select("gene_ix", "value", (F.col("n") - F.col("m") + F.col("before") + (t + 1) / 2).alias("rank"))
-    own = fine.filter(F.col(by).isNotNull()).join(placed, ["gene_ix", "value"]).groupBy(by, "gene_ix").agg(
+    per_gene = values.groupBy(*keys, "gene_ix").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum(t * F.col("value")).alias("all_sum"), F.sum(t * t * t - t).alias("tie_stored"))
+    placed = values.select(*keys, "gene_ix", "value", (F.col("n") - F.col("m") + F.col("before") + (t + 1) / 2).alias("rank"))
+    own = fine.filter(F.col(by).isNotNull()).join(placed, [*keys, "gene_ix", "value"]).groupBy(*keys, by, "gene_ix").agg(
         F.sum(F.col("rank") * F.col("k")).alias("w"), F.sum("k").alias("k"), F.sum(F.col("value") * F.col("k")).alias("s")
     )
-    out = per_gene.crossJoin(sizes).join(own, [by, "gene_ix"], "left")  # genes x groups, the size of the result
+    grid = per_gene.join(sizes, keys) if keys else per_gene.crossJoin(sizes)  # genes x groups, the size of the result
+    out = grid.join(own, [*keys, by, "gene_ix"], "left")
     zero = F.lit(0.0)
     z0 = F.col("n") - F.col("m")
     w = F.coalesce("w", zero) + (F.col("n1") - F.coalesce("k", F.lit(0))) * (z0 + 1) / 2
@@ -75,7 +81,7 @@ def rank_sum(d: Dataset, by: str, tie_correct: bool = False, logged: bool = Fals
     spread = n1 * n2 / 12 * (n + 1 - (tie / F.nullif(n * (n - 1), zero) if tie_correct else zero))
     z = F.try_divide(w - n1 * (n + 1) / 2, F.sqrt(F.when(spread > 0, spread)))
     out = out.withColumns({"z": z, "mean_group": F.coalesce("s", zero) / n1, "mean_rest": F.try_divide(F.col("all_sum") - F.coalesce("s", zero), n2)})
-    return out.select(by, "gene_ix", F.col("z").alias("score"), _log2fc("mean_group", "mean_rest", 1e-9, logged).alias("logfoldchange"), "mean_group", "mean_rest")
+    return out.select(*keys, by, "gene_ix", F.col("z").alias("score"), _log2fc("mean_group", "mean_rest", 1e-9, logged).alias("logfoldchange"), "mean_group", "mean_rest")
 
 
 def benjamini_hochberg(tests: DataFrame, by: list[str], p: str = "pval", tie: str = "gene_ix") -> DataFrame:
@@ -87,19 +93,26 @@ def benjamini_hochberg(tests: DataFrame, by: list[str], p: str = "pval", tie: st
     return out.withColumn("pval_adj", F.least(F.lit(1.0), F.min(F.col(p) * F.col("_n") / F.col("_rn")).over(down))).drop("_rn", "_n")
 
 
-def rank_genes_groups(d: Dataset, by: str, tie_correct: bool = False, logged: bool = False, by_abs: bool = False) -> DataFrame:
+def rank_genes_groups(d: Dataset, by: str, tie_correct: bool = False, logged: bool = False, by_abs: bool = False, strata: tuple[str, ...] = (), min_cells: int = 50, groups: list | None = None, pts: bool = False) -> DataFrame:
     """rank_sum with p, adjusted p and each group's ranking (score descending, ties to the smaller gene, missing last)."""
-    tests = rank_sum(d, by, tie_correct, logged).withColumn("pval", two_sided_p("score"))
-    tests = benjamini_hochberg(tests, [by])
+    tests = rank_sum(d, by, tie_correct, logged, strata, min_cells)
+    if groups is not None:
+        tests = tests.filter(F.col(by).isin(groups))
+    if pts:
+        from lattica.operators.aggregates import expressing_fractions
+
+        tests = tests.join(expressing_fractions(d, by), [by, "gene_ix"], "left")
+    tests = benjamini_hochberg(tests.withColumn("pval", two_sided_p("score")), [*strata, by])
     key = F.abs("score") if by_abs else F.col("score")
-    place = F.row_number().over(Window.partitionBy(by).orderBy(key.desc_nulls_last(), "gene_ix"))
+    place = F.row_number().over(Window.partitionBy(*strata, by).orderBy(key.desc_nulls_last(), "gene_ix"))
     return tests.withColumn("rank", place.cast("long"))
 
 
-def pairwise_reference(d: Dataset, by: str, reference: str, epsilon: float = 1e-9, geometric: bool = True) -> DataFrame:
+def pairwise_reference(d: Dataset, by: str, reference: str, epsilon: float = 1e-9, geometric: bool = True, cpm_filter: float | None = None) -> DataFrame:
     """Each group against the reference group only: U, z with continuity and tie correction, means, fold and percent change.
 
     The pool of a test is the group and the reference; ranks are taken over distinct values with their counts.
+    cpm_filter keeps genes above that many counts per million in the target or in the reference.
     """
     labels = d.read_obs(by).filter(F.col(by).isNotNull())
     sizes = labels.groupBy(by).agg(F.count("*").alias("n1"))
@@ -132,4 +145,21 @@ def pairwise_reference(d: Dataset, by: str, reference: str, epsilon: float = 1e-
     back = F.expm1 if geometric else (lambda c: c)
     t, r = back(F.col("s1") / n1), back(F.col("s2") / n2)
     fold = F.log2((t + epsilon) / (r + epsilon))
+    if cpm_filter is not None:
+        depth = d.matrix().join(labels, "cell_ix").groupBy(F.col(by).alias("target")).agg(F.sum("value").alias("depth"))
+        base = depth.filter(F.col("target") == reference).select(F.col("depth").alias("ref_depth"))
+        sums = counted.groupBy(F.col(by).alias("target"), "gene_ix").agg(F.sum(F.col("value") * F.col("k")).alias("total"))
+        refs = sums.filter(F.col("target") == reference).select("gene_ix", F.col("total").alias("ref_total"))
+        got = got.join(sums, ["target", "gene_ix"], "left").join(refs, "gene_ix", "left").join(depth, "target").join(F.broadcast(base), F.lit(True))  # base is one row
+        cpm = lambda a, b: 1e6 * F.coalesce(a, F.lit(0.0)) / F.col(b)
+        got = got.filter((cpm("total", "depth") > cpm_filter) | (cpm("ref_total", "ref_depth") > cpm_filter))
     return got.select("target", "gene_ix", u.alias("statistic"), z.alias("z"), t.alias("target_mean"), r.alias("reference_mean"), F.nanvl(fold, F.lit(0.0)).alias("fold_change"), ((t - r) / (r + epsilon)).alias("percent_change"))
+
+
+def extract(tests: DataFrame, pval_cutoff: float | None = None, log2fc_min: float | None = None, log2fc_max: float | None = None) -> DataFrame:
+    """Rows of a ranking within the bounds."""
+    if pval_cutoff is not None:
+        tests = tests.filter(F.col("pval_adj") < pval_cutoff)
+    if log2fc_min is not None:
+        tests = tests.filter(F.col("logfoldchange") > log2fc_min)
+    return tests if log2fc_max is None else tests.filter(F.col("logfoldchange") < log2fc_max)
