@@ -23,10 +23,10 @@ from pyspark.sql.types import ArrayType, IntegerType, LongType, StringType, Stru
 
 from lattica.llm.common import append_columns, as_text
 
-#: So many encoded words are kept by a Python worker (some 250 MB); then the cache starts anew.
-CACHE = 1_000_000
+#: So many encoded words are kept by a Python worker (some 60 MB); then the cache starts anew.
+CACHE = 250_000
 #: Texts are encoded together up to so many characters.
-GROUP_CHARS = 6_000_000
+GROUP_CHARS = 1_500_000
 #: Beyond this code point the library's own splitter decides what is a letter, a number or white space.
 COMMON = chr(0x530)
 
@@ -157,7 +157,7 @@ class Codec:
             tokens.reverse()
             out.append(b"".join(tokens))
             before = w
-        if len(valid) > 2_000_000:
+        if len(valid) > 400_000:
             valid.clear()
         return out
 

@@ -12,11 +12,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructField, StructType
 
 _SHIPPED: set[str] = set()
+#: Rows of an Arrow batch while the session has Spark's default: whole texts make wide rows, and a batch is held
+#: by the JVM and by Python at once.
+BATCH_ROWS = 1000
+_SPARK_BATCH_ROWS = "10000"
+_BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker, wherever it runs (once per application)."""
+    """Make this package importable in every Python worker, wherever it runs (once per application), and keep batches small."""
     sc = spark.sparkContext
+    if spark.conf.get(_BATCH_SETTING) == _SPARK_BATCH_ROWS:
+        spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
     if sc.applicationId in _SHIPPED:
         return
     root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
