@@ -11,7 +11,8 @@ only the edges of a spanning forest leave it, never all pairs of a group; compon
 
 Equal fingerprints are one node, so copies add no links. Defined cases: null and empty texts have the zero fingerprint,
 which links like any other; fewer words than a shingle make one shingle of the whole sequence; repeated rows share their
-component; an empty table gives an empty result.
+component; a group of rows without any id has no component_id, and deduplicate keeps rows without an id; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -214,7 +215,7 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     repeated = keep.filter("count > 1").select("_keep")
     once = out.join(repeated, out[id_col] == F.col("_keep"), "left_anti")
     again = out.join(repeated, out[id_col] == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again).select(*docs.columns)
+    return once.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
 
 
 def brute(docs: list[tuple[int, str | None]]) -> list[tuple[int, str, int]]:
