@@ -211,11 +211,14 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     found = group(docs, id_col, text_col, shingle)
     keep = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_keep")).count()
     keep = materialize(keep, "simhash-kept")
-    out = docs.join(keep.select("_keep"), docs[id_col] == F.col("_keep"), "left_semi")
+    named = docs[id_col] == F.col("_keep")
+    # texts are dealt by id at every size: the kept ids grow with the input, so they are never broadcast
+    out = docs.join(keep.select("_keep").hint("merge"), named, "left_semi")
     repeated = keep.filter("count > 1").select("_keep")
-    once = out.join(repeated, out[id_col] == F.col("_keep"), "left_anti")
-    again = out.join(repeated, out[id_col] == F.col("_keep"), "left_semi").dropDuplicates([id_col])
-    return once.unionByName(again).unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    if not repeated.isEmpty():
+        again = out.join(repeated, named, "left_semi").dropDuplicates([id_col])
+        out = out.join(repeated, named, "left_anti").unionByName(again)
+    return out.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
 
 
 def brute(docs: list[tuple[int, str | None]]) -> list[tuple[int, str, int]]:
