@@ -38,26 +38,38 @@ def dispersion_bins(moments: DataFrame, n_bins: int = 20) -> DataFrame:
     return m.select("gene_ix", "log_mean", "dispersion", "bin", z.alias("dispersion_norm"))
 
 
+#: Points at which a local regression is solved at most.
+LOESS_KNOTS = 400
+
+
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
-    """Local quadratic regression with tricube weights, evaluated at x."""
+    """Local quadratic regression with tricube weights, evaluated at x; beyond LOESS_KNOTS points, at that many
+    quantiles and even steps of x, and linearly in between."""
+    n = len(x)
+    if n > LOESS_KNOTS:
+        half = LOESS_KNOTS // 2
+        knots = np.unique(np.concatenate([np.quantile(x, np.linspace(0, 1, half)), np.linspace(x.min(), x.max(), half)]))
+        return np.interp(x, knots, _loess_at(knots, x, y, span))
+    return _loess_at(x, x, y, span)
+
+
+def _loess_at(at: np.ndarray, x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
     n = len(x)
     k = max(4, int(np.ceil(span * n)))
     order = np.argsort(x, kind="stable")
-    xs, ys, out = x[order], y[order], np.empty(n)
-    for i in range(n):
-        lo = max(0, min(n - k, np.searchsorted(xs, xs[i]) - k // 2))
-        while lo + k < n and xs[lo + k] - xs[i] < xs[i] - xs[lo]:
+    xs, ys, out = x[order], y[order], np.empty(len(at))
+    for i, p in enumerate(at):
+        lo = max(0, min(n - k, int(np.searchsorted(xs, p)) - k // 2))
+        while lo + k < n and xs[lo + k] - p < p - xs[lo]:
             lo += 1
-        while lo > 0 and xs[i] - xs[lo - 1] < xs[min(n, lo + k) - 1] - xs[i]:
+        while lo > 0 and p - xs[lo - 1] < xs[min(n, lo + k) - 1] - p:
             lo -= 1
-        a, b = xs[lo : lo + k] - xs[i], ys[lo : lo + k]
+        a, b = xs[lo : lo + k] - p, ys[lo : lo + k]
         h = max(np.abs(a).max(), 1e-12) * 1.000001
         w = (1 - (np.abs(a) / h) ** 3) ** 3
         basis = np.stack([np.ones_like(a), a, a * a], 1) * np.sqrt(w)[:, None]
         out[i] = np.linalg.lstsq(basis, b * np.sqrt(w), rcond=None)[0][0]
-    result = np.empty(n)
-    result[order] = out
-    return result
+    return out
 
 
 def variance_stabilised(d: Dataset, n_top: int = 2000, span: float = 0.3, batch: str | None = None) -> DataFrame:
