@@ -82,7 +82,7 @@ class Automaton:
     def __init__(self, markup: str):
         self.edges: list[list[tuple[bytes | None, int]]] = [[]]
         self.skips: list[list[int]] = [[]]
-        opened, self.mandatory = [], 0
+        opened, self.mandatory, self.needs = [], 0, set()
         for m in _TOKEN.finditer(markup):
             at = len(self.edges) - 1
             if m.group() == "[":
@@ -98,6 +98,8 @@ class Automaton:
             else:
                 self._grow(m.group().encode())
                 self.mandatory += not opened
+                if not opened:
+                    self.needs.add(m.group().encode())
         if opened:
             raise ValueError(f"an optional region isn't closed: {markup}")
         self.end = len(self.edges) - 1
@@ -154,20 +156,19 @@ class Scanner:
                 if w is not None:
                     self.starts.setdefault(w, []).append((label, a))
         self.base = re.compile(rb"(?<![^ ])(?:" + b"|".join(map(re.escape, PHRASES)) + rb")(?![^ ])")
-        # every template has one of these in its mandatory wording
-        self.hint = re.compile(rb"licen[sc]e|cc by|mit|gnu|creative commons|permission|redistribution|neither the name|public domain")
 
     def scan(self, text: bytes) -> tuple:
-        plain = text.translate(TO_WORDS)
-        words = plain.split()
-        if not self.hint.search(plain):
-            return len(words), 0, None, None, "", "", 0.0, ""
+        words = text.translate(TO_WORDS).split()
         joined = b" ".join(words)
         places = [(joined.count(b" ", 0, m.start()), PHRASES[m.group()]) for m in self.base.finditer(joined)]
         base = sorted({label for _, label in places})
         best: dict[str, tuple[int, int, int]] = {}
-        starts = self.starts
-        for i, w in enumerate(words):
+        # a template can match only where all its mandatory words are in the text
+        have, starts = set(words), {}
+        for w in self.starts.keys() & have:
+            if possible := [(label, a) for label, a in self.starts[w] if a.needs <= have]:
+                starts[w] = possible
+        for i, w in enumerate(words) if starts else ():
             if w in starts:
                 for label, a in starts[w]:
                     end = a.match(words, i)

@@ -55,6 +55,16 @@ def test_license_templates():
     assert scores[0] == 0 and 0 < scores[1] < scores[2] <= 1
 
 
+def test_license_words_between_any_separators():
+    s = licenses.Scanner()
+    assert s.scan(b"CC, BY 4.0")[1:6] == (1, 0, 0, "cc-by", "cc-by,cc-by-4.0")
+    assert s.scan(b"under CC\n   by terms")[1:6] == (1, 1, 1, "cc-by", "cc-by")
+    assert s.scan(b"Creative\n    Commons Attribution 4.0")[5] == "cc-by-4.0"
+    assert s.scan(b"released into the public\n\tdomain")[5] == "" and s.scan(b"this is free and unencumbered software released into the public -- domain")[5] == "unlicense"
+    own = licenses.Scanner({"house": ["[all] rights {who:1-2} reserved"]})
+    assert own.scan(b"All rights of Acme reserved")[5] == "house" and own.scan(b"all rights reserved")[5] == ""
+
+
 def test_automaton_regions():
     a = licenses.Automaton("a [b c] {x:0-2} d")
     match = lambda t: a.match(t.encode().split(), 0)
