@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate token in its context.
 
 A candidate is a run of at least MIN_CANDIDATE key characters that holds both a letter and a digit, or looks shuffled.
-Candidates inside a base match are found already; each other one goes through the network (embedding, one convolution,
-maximum over positions, logistic output), which sees the candidate's characters and those around it. The network is
+What a base match covers is found already: candidates are cut there, and each piece of MIN_CANDIDATE characters or more
+goes through the network (embedding, one convolution, maximum over positions, logistic output), which sees its characters and those around it. The network is
 trained on labelled findings: generated ones of known kinds in generated surroundings, and, as hard negatives, ordinary
 candidates. Its output is calibrated on findings it wasn't trained on, and of the thresholds
 that keep the asked recall there, the one of best F1 is used.
@@ -54,14 +54,20 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
     return sorted(out, key=lambda s: (s[0], order[s[2]]))
 
 
-def candidates(text: str) -> list[tuple[int, int]]:
-    """Spans of tokens that could be secrets."""
-    out = []
+def candidates(text: str, base: list[tuple[int, int, str]] = []) -> list[tuple[int, int]]:
+    """Spans of tokens that could be secrets: runs of key characters without what base spans (sorted) cover,
+    with a digit and a letter."""
+    out, k, covered = [], 0, 0
     for m in CANDIDATE.finditer(text):
-        t = m.group()
-        if re.search("[0-9]", t) and re.search("[A-Za-z]", t):
-            out.append(m.span())
-    return out
+        at, end = m.span()
+        while k < len(base) and base[k][0] < end:
+            if base[k][0] - max(at, covered) >= MIN_CANDIDATE:
+                out.append((max(at, covered), base[k][0]))
+            covered = max(covered, base[k][1])
+            k += 1
+        if end - max(at, covered) >= MIN_CANDIDATE:
+            out.append((max(at, covered), end))
+    return [(a, b) for a, b in out if re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b])]
 
 
 def encode(text: str, start: int, end: int) -> np.ndarray:
@@ -225,7 +231,7 @@ def trained_network(n: int = 3000, seed: int = 3) -> Network:
 def scan_text(text: str, network: Network) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans (those of the network have kind cnn)."""
     base = base_spans(text)
-    open_ = [c for c in candidates(text) if not any(a < c[1] and c[0] < b for a, b, _ in base)] if len(base) < 50 else _outside(candidates(text), base)
+    open_ = candidates(text, base)
     if not open_:
         return base, base
     p = network.probability(np.array([encode(text, *c) for c in open_]))
@@ -234,18 +240,6 @@ def scan_text(text: str, network: Network) -> tuple[list[tuple[int, int, str]],
     return base, sorted(base + more, key=lambda s: (s[0], rank[s[2]]))
 
 
-def _outside(spans: list[tuple[int, int]], base: list[tuple[int, int, str]]) -> list[tuple[int, int]]:
-    """Spans that meet no base span, both sorted by start."""
-    starts = np.array([b[0] for b in base])
-    ends = np.maximum.accumulate(np.array([b[1] for b in base]))
-    out = []
-    for a, b in spans:
-        k = int(np.searchsorted(starts, b))
-        if not k or ends[k - 1] <= a:
-            out.append((a, b))
-    return out
-
-
 def joined(spans: list[tuple[int, int, str]]) -> str:
     return ",".join(f"{k}:{a}:{b}" for a, b, k in spans)
 

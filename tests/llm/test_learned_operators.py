@@ -141,6 +141,19 @@ def test_network_on_new_findings():
     assert [s[2] for s in spans] == ["cnn"]
 
 
+def _found(text):
+    return [text[a:b] for a, b, _ in secrets.scan_text(text, secrets.trained_network())[1]]
+
+
+def test_secrets_beside_base_spans():
+    key, rest = "ghp_aB3xK9qLmZ7tYw2RfVn8Hs4DpQe5uTj6Wc1G", "QZkX7mWpLr9TvBnY3sHd"
+    for text in ("see commit/" + "0123456789" * 4 + "/" + key + " ok", " ".join(["0123456789abcdef01234567"] * 60) + "/" + key + " ok"):
+        assert any(key in f for f in _found(text))
+    assert any(rest in f for f in _found("key sk_live_0123456789abcdef01234567" + rest + " x"))
+    # what base spans cover is never found twice
+    assert _found("token=aB3xK9qLmZ7tYw2RfVn8Hs4DpQe x") == ["token=aB3xK9qLmZ7tYw2RfVn8Hs4DpQe"]
+
+
 def test_redaction(spark):
     key = "0123456789abcdef0123456789abcdef"
     rows = [(1, f'x token = "{key}" y', 99), (2, "nothing here", 12), (3, None, None)]
