@@ -1,10 +1,11 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate token in its context.
 
-A candidate is a run of at least MIN_CANDIDATE key characters that holds both a letter and a digit, or looks shuffled.
-What a base match covers is found already: candidates are cut there, and each piece of MIN_CANDIDATE characters or more
-goes through the network (embedding, one convolution, maximum over positions, logistic output), which sees its characters and those around it. The network is
-trained on labelled findings: generated ones of known kinds in generated surroundings, and, as hard negatives, ordinary
-candidates. Its output is calibrated on findings it wasn't trained on, and of the thresholds
+A candidate is a run of at least MIN_CANDIDATE key characters that holds both a letter and a digit, or looks shuffled. What a base match covers is found already:
+candidates are cut there, and each piece of MIN_CANDIDATE characters or more goes through the network (embedding, one
+convolution, maximum over positions, logistic output), which sees the piece's characters and those around it. A piece
+longer than BODY is seen whole, in windows of BODY characters that overlap by half; the windows found are joined,
+and run on to the ends of the letters and digits they cut. The network is trained on labelled findings: generated ones
+of known kinds in generated surroundings, alone or inside longer runs, and, as hard negatives, ordinary candidates. Its output is calibrated on findings it wasn't trained on, and of the thresholds
 that keep the asked recall there, the one of best F1 is used.
 
 Defined cases: null counts as empty; an empty text has no spans; texts of any length are scanned whole; repeated rows
@@ -70,13 +71,19 @@ def candidates(text: str, base: list[tuple[int, int, str]] = []) -> list[tuple[i
     return [(a, b) for a, b in out if re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b])]
 
 
+def windows(start: int, end: int) -> list[tuple[int, int]]:
+    """The parts of a candidate that the network sees one at a time: all of it, or overlapping windows of BODY characters."""
+    if end - start <= BODY:
+        return [(start, end)]
+    return [(a, a + BODY) for a in [*range(start, end - BODY, BODY // 2), end - BODY]]
+
+
 def encode(text: str, start: int, end: int) -> np.ndarray:
-    """Codes of the characters around and in a candidate; a long one keeps its first and last characters."""
-    body = text[start:end] if end - start <= BODY else text[start : start + BODY // 2] + text[end - BODY // 2 : end]
-    left, right = text[max(0, start - SIDE) : start], text[end : end + SIDE]
-    chars = np.array([min(ord(c), 0x24F) for c in left + body + right], np.int64)
+    """Codes of the characters around and in a window."""
+    seen = text[max(0, start - SIDE) : end + SIDE]
+    chars = np.minimum(np.frombuffer(seen.encode("utf-32-le", "surrogatepass"), np.uint32), 0x24F)
     out = np.zeros(WIDTH, np.int64)
-    at = SIDE - len(left)
+    at = max(0, SIDE - start)
     out[at : at + len(chars)] = _CODE[chars]
     return out
 
@@ -175,7 +182,19 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     lower, upper, digit = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
     full = lower + upper + digit
     syllables = "the an er on re in ed nd ha at en es of or nt ea ti to it st io le is ou ar as de rt ve und ich ein que ado".split()
-    word = lambda: "".join(r.choice(syllables, r.integers(1, 5)))
+    known = (
+        "about after again against before between because children different document every example family government"
+        " house important information international language large little morning mountain nothing number other people"
+        " question reading research school something special system through together under university water where which"
+        " without world writing year configuration management performance available anything words notes files data user"
+        " abend arbeit bericht durch entwicklung freundschaft gesellschaft geschwindigkeit haus kinder lich keit heit ung"
+        " schaft nicht sprache strasse verantwortung verwaltung wirtschaft wissenschaft zwischen zeit zusammen schule"
+        " aujourd apres avec beaucoup chose comme connaissance developpement entre enfant gouvernement homme jour maison"
+        " monde notre pendant petit pour quelque semaine temps toujours travail ville ment tion ance ence able less ness"
+        " ahora antes ciudad cuando desarrollo desde despues donde escuela gente hacia hombre manera mejor mientras mundo"
+        " nuestro palabra porque siempre tiempo trabajo cion dad mente ing ly ous the and of in to der die das und le la el"
+    ).split()
+    word = lambda: "".join(r.choice(syllables, r.integers(1, 5))) if r.random() < 0.5 else str(r.choice(known))
     prose = lambda k: " ".join(word() for _ in range(k))
     x, y = [], []
     secrets = [
@@ -200,6 +219,8 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: word().capitalize() + word().capitalize() + word().capitalize() + "V" + str(r.integers(1, 30)) + word().capitalize() + word(),
         lambda: "a" * r.integers(10, 30) + "1" * r.integers(6, 20),
     ]
+    # paths around a secret, or without one
+    around = lambda: "/".join(word() + (str(r.integers(0, 99)) if r.random() < 0.2 else "") for _ in range(r.integers(4, 12)))
     named = ["key = ", "auth: ", 'bearer "', "credentials=", "secret key is ", "access ", "Authorization: Bearer ", "client_secret ", "private ", ""]
     bland = ["see ", "file ", "in ", "id ", "version ", "the ", "page ", "href=\"/", "build ", ""]
     for i in range(n):
@@ -211,10 +232,18 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lead = r.choice(named if positive and r.random() < 0.5 else bland)
         text = prose(4) + " " + lead
         start = len(text)
+        at, size = 0, len(token)  # of the secret or plain token in its run
+        if r.random() < 0.15:
+            before = around() + "/"
+            token, at = before + token + "/" + around(), len(before)
         text += token + r.choice([" ", '" ', ", ", ".\n", "; "]) + prose(4)
         if r.random() < 0.15:
             text = text[: start] + token + text[start + len(token) :].upper()
-        x.append(encode(text, start, start + len(token)))
+        # of a run's windows, one of those that show most of the token
+        shown = windows(start, start + len(token))
+        most = [min(b, start + at + size) - max(a, start + at) for a, b in shown]
+        best = [w for w, m in zip(shown, most) if m == max(most)]
+        x.append(encode(text, *best[r.integers(len(best))]))
         y.append(float(positive))
     return np.array(x), np.array(y)
 
@@ -231,11 +260,23 @@ def trained_network(n: int = 3000, seed: int = 3) -> Network:
 def scan_text(text: str, network: Network) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
     """Base spans, and all spans (those of the network have kind cnn)."""
     base = base_spans(text)
-    open_ = candidates(text, base)
-    if not open_:
+    seen = [(c, w) for c in candidates(text, base) for w in windows(*c)]
+    if not seen:
         return base, base
-    p = network.probability(np.array([encode(text, *c) for c in open_]))
-    more = [(a, b, "cnn") for (a, b), q in zip(open_, p) if q >= network.threshold]
+    more: list[tuple[int, int, str]] = []
+    for k in range(0, len(seen), 512):
+        part = seen[k : k + 512]
+        p = network.probability(np.array([encode(text, *w) for _, w in part]))
+        for ((start, end), (a, b)), q in zip(part, p):
+            if q >= network.threshold:
+                while a > start and text[a - 1].isalnum() and text[a].isalnum():
+                    a -= 1
+                while b < end and text[b].isalnum() and text[b - 1].isalnum():
+                    b += 1
+                if more and a < more[-1][1]:
+                    more[-1] = (min(a, more[-1][0]), max(b, more[-1][1]), "cnn")
+                else:
+                    more.append((a, b, "cnn"))
     rank = {"assign": 0, "access": 1, "hex": 2, "cnn": 3}
     return base, sorted(base + more, key=lambda s: (s[0], rank[s[2]]))
 

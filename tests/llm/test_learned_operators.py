@@ -154,6 +154,17 @@ def test_secrets_beside_base_spans():
     assert _found("token=aB3xK9qLmZ7tYw2RfVn8Hs4DpQe x") == ["token=aB3xK9qLmZ7tYw2RfVn8Hs4DpQe"]
 
 
+def test_secrets_inside_long_runs():
+    key = "aB3xK9qLmZ7tYw2RfVn8Hs4DpQe"
+    path = "/".join("words and files of the long path in 2020 without anything".split())
+    assert _found(f"see {path} x") == []
+    for k in range(1, 5):
+        text = f"see {'/'.join([path] * k)}/{key}/{'/'.join([path] * k)} x"
+        assert any(key in f for f in _found(text))
+    blob = ("aB3xK9qLmZ7tYw2RfVn8Hs4Dp+uTj6Wc1G" * 12)[:400]
+    assert _found(f"x {blob} y") == [blob]
+
+
 def test_redaction(spark):
     key = "0123456789abcdef0123456789abcdef"
     rows = [(1, f'x token = "{key}" y', 99), (2, "nothing here", 12), (3, None, None)]
