@@ -1,6 +1,6 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate token in its context.
 
-A candidate is a run of at least MIN_CANDIDATE key characters that holds both a letter and a digit, or looks shuffled. What a base match covers is found already:
+A candidate is a run of at least MIN_CANDIDATE key characters of any kind. What a base match covers is found already:
 candidates are cut there, and each piece of MIN_CANDIDATE characters or more goes through the network (embedding, one
 convolution, maximum over positions, logistic output), which sees the piece's characters and those around it. A piece
 longer than BODY is seen whole, in windows of BODY characters that overlap by half; the windows found are joined,
@@ -56,8 +56,7 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]] = []) -> list[tuple[int, int]]:
-    """Spans of tokens that could be secrets: runs of key characters without what base spans (sorted) cover,
-    with a digit and a letter."""
+    """Spans of tokens that could be secrets: runs of key characters without what base spans (sorted) cover."""
     out, k, covered = [], 0, 0
     for m in CANDIDATE.finditer(text):
         at, end = m.span()
@@ -68,7 +67,7 @@ def candidates(text: str, base: list[tuple[int, int, str]] = []) -> list[tuple[i
             k += 1
         if end - max(at, covered) >= MIN_CANDIDATE:
             out.append((max(at, covered), end))
-    return [(a, b) for a, b in out if re.search("[0-9]", text[a:b]) and re.search("[A-Za-z]", text[a:b])]
+    return out
 
 
 def windows(start: int, end: int) -> list[tuple[int, int]]:
@@ -195,6 +194,8 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         " nuestro palabra porque siempre tiempo trabajo cion dad mente ing ly ous the and of in to der die das und le la el"
     ).split()
     word = lambda: "".join(r.choice(syllables, r.integers(1, 5))) if r.random() < 0.5 else str(r.choice(known))
+    # one long word, of syllables, known words or both
+    compound = lambda low, high: "".join(r.choice(syllables + known * int(r.integers(0, 2)), r.integers(6, 16)))[: r.integers(low, high)]
     prose = lambda k: " ".join(word() for _ in range(k))
     x, y = [], []
     secrets = [
@@ -206,6 +207,9 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: pick(upper + digit, r.integers(20, 40)),
         lambda: pick("0123456789ABCDEF", r.integers(24, 64)),
         lambda: pick(full + "+/", 42) + "=" * r.integers(1, 3),
+        lambda: pick(lower + upper, r.integers(20, 41)),
+        lambda: pick(upper, r.integers(20, 41)),
+        lambda: pick(lower, r.integers(20, 41)),
     ]
     plain = [
         lambda: "-".join([word(), word(), word(), str(r.integers(1, 3000))]) + word(),
@@ -218,6 +222,15 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: (word() + word()).upper() + "-" + str(r.integers(100, 99999)) + "-" + word().upper() + word().upper(),
         lambda: word().capitalize() + word().capitalize() + word().capitalize() + "V" + str(r.integers(1, 30)) + word().capitalize() + word(),
         lambda: "a" * r.integers(10, 30) + "1" * r.integers(6, 20),
+        lambda: compound(16, 24),
+        lambda: compound(16, 40),
+        lambda: compound(16, 30).capitalize(),
+        lambda: compound(16, 30).upper(),
+        lambda: "".join(word().capitalize() for _ in range(r.integers(3, 9))),
+        lambda: str(r.choice(["-", "_", "/", "="])).join(word() for _ in range(r.integers(4, 12))),
+        lambda: str(r.choice(list("=-_+/ax0"))) * r.integers(16, 60),
+        lambda: pick(digit, 16),
+        lambda: pick(digit, r.integers(16, 41)),
     ]
     # paths around a secret, or without one
     around = lambda: "/".join(word() + (str(r.integers(0, 99)) if r.random() < 0.2 else "") for _ in range(r.integers(4, 12)))
@@ -226,7 +239,7 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
     for i in range(n):
         positive = i % 2 == 0
         token, tries = "", 0
-        while not (len(token) >= MIN_CANDIDATE and re.search("[0-9]", token) and re.search("[A-Za-z]", token)) and tries < 20:
+        while len(token) < MIN_CANDIDATE and tries < 20:
             token = str((secrets if positive else plain)[r.integers(len(secrets if positive else plain))]())
             tries += 1
         lead = r.choice(named if positive and r.random() < 0.5 else bland)

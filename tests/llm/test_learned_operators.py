@@ -165,6 +165,15 @@ def test_secrets_inside_long_runs():
     assert _found(f"x {blob} y") == [blob]
 
 
+def test_secrets_of_letters_alone():
+    r, n = np.random.default_rng(5), 200
+    full = list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ")
+    keys = ["".join(r.choice(full, 24)) for _ in range(n)] + ["".join(r.choice(full[26:], 24)) for _ in range(n)]
+    assert sum(key in "".join(_found(f"the key is {key} for now")) for key in keys) >= secrets.RECALL * 2 * n
+    for text in ("Geschwindigkeitsbegrenzung auf der Strasse", "= " * 9 + "=" * 40 + " x", "internationalisation of words", "a 4111222233334444 b"):
+        assert _found(text) == []
+
+
 def test_redaction(spark):
     key = "0123456789abcdef0123456789abcdef"
     rows = [(1, f'x token = "{key}" y', 99), (2, "nothing here", 12), (3, None, None)]
