@@ -33,8 +33,10 @@ _TAG = re.compile(r"""<(?:!--(?:.*?--|.*\Z)|(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^<
 _ATTRIBUTE = re.compile(r"""(class|id|role|data-kept)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 _WORD = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-_RAW = frozenset("script style textarea noscript template iframe svg math title xmp".split())
-_INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split())
+_RAW = frozenset("script style textarea noscript template iframe svg title xmp".split())
+_RAW_END = {t: re.compile(rf"</{t}(?=[\s/>]|\Z)", re.I | re.A) for t in _RAW}
+_MATH = "math mfrac mi mmultiscripts mn mo mover mpadded mroot mrow ms mspace msqrt mstyle msub msubsup msup mtext munder munderover semantics".split()
+_INLINE = frozenset([*_MATH, *"a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr img".split()])
 _ENDS_P = frozenset("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre section summary table ul li".split())
 _CLOSES = {
     "li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}), "tr": ({"tr", "td", "th"}, {"table"}),
@@ -44,9 +46,9 @@ _SCOPE = frozenset("table td th caption button html body".split())
 
 _GROUPS = [
     ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "input", "button", "select", "option", "label", "fieldset", "textarea"),
-    ("script", "style", "noscript", "template", "iframe", "svg", "math", "head", "title", "meta", "link"), ("article",), ("main",), ("section",), ("div",), ("p",),
-    ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl"), ("a",), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre"), ("figure", "figcaption"),
-    ("b", "i", "em", "strong", "span", "u", "small", "font", "code", "mark", "sub", "sup", "q", "cite", "abbr"),
+    ("script", "style", "noscript", "template", "iframe", "svg", "head", "title", "meta", "link"), ("article",), ("main",), ("section",), ("div",), ("p",),
+    ("h1",), ("h2", "h3", "h4", "h5", "h6"), ("li", "dt", "dd"), ("ul", "ol", "dl"), ("a",), ("table", "tbody", "tr", "td", "th"), ("blockquote", "pre", "xmp"), ("figure", "figcaption"),
+    ("b", "i", "em", "strong", "span", "u", "small", "font", "code", "mark", "sub", "sup", "q", "cite", "abbr", *_MATH),
 ]
 _GROUP = {t: i for i, ts in enumerate(_GROUPS) for t in ts}
 _GOOD = frozenset("article content post entry main body story text prose news page paragraph".split())
@@ -96,7 +98,7 @@ class Page:
 
     def _build(self, source: str) -> None:
         tag, pieces, stack, last, skip_to = self.tag, self.pieces, [0], 0, 0
-        lower = None
+        unclosed: set[str] = set()  # raw elements without another end tag
         pos = 0
         while True:
             m = _TAG.search(source, pos)
@@ -143,13 +145,19 @@ class Page:
                 pieces.append((-1, ""))
             node = self._open(name, m.start(), m.group(3), stack)
             if name in _RAW:
-                if lower is None:
-                    lower = source.lower() if len(source.lower()) == len(source) else source
-                close = lower.find("</" + name, pos)
-                close = len(source) if close < 0 else close
+                if name == "svg" and (m.group(3) or "").endswith("/"):
+                    continue
+                close = None if name in unclosed else _RAW_END[name].search(source, pos)
+                if close is None:
+                    unclosed.add(name)
+                    if name == "svg":  # unlike the others it doesn't swallow the rest of a page
+                        continue
+                inside = source[pos : close.start() if close else len(source)]
                 if name == "title":
-                    pieces.append((node, unescape(source[pos:close])))
-                after = source.find(">", close)
+                    pieces.append((node, unescape(inside)))
+                elif name == "xmp":
+                    pieces += [(node, inside), (-1, "")]
+                after = source.find(">", close.end()) if close else -1
                 pos = last = len(source) if after < 0 else after + 1
             elif name not in _VOID and not (m.group(3) or "").endswith("/"):
                 stack.append(node)
@@ -288,7 +296,9 @@ def generated_page(r: np.random.Generator) -> str:
         if chance(0.3):
             t = text.split(" ")
             i = int(r.integers(len(t)))
-            tag = pick("b", "i", "em", "a", "strong", "span")
+            tag = pick("b", "i", "em", "a", "strong", "span", "math")
+            if tag == "math":
+                t[i] = f"<mi>{t[i]}</mi>" + (f"<mo>=</mo><mn>{word()}</mn>" if chance(0.5) else "")
             t[i] = f'<{tag}{" href=/" + word() if tag == "a" else ""}>{t[i]}' + (f"</{tag}>" if chance(0.85) else "")
             text = " ".join(t)
         return text.replace(". ", ". &amp; ", 1) if chance(0.08) else text

@@ -274,3 +274,22 @@ def test_parsing_odd_pages(spark):
     assert len(out) == len(rows) and all(r["n_chars"] == len(r["text"]) for r in out)
     p = html.Page("<ul><li>a<li>b</ul><table><tr><td>c<td>d<tr><td>e</table><p>f<br>g <i>h</i>i")
     assert p.text(np.ones(len(p.tag), bool)) == "a b c d e f g hi"
+
+
+def test_raw_elements_end_where_they_should():
+    def text(source):
+        p = html.Page(source)
+        return p.text(np.ones(len(p.tag), bool))
+
+    assert text("<p>a</p><svg width=1 /><p>b</p>") == "a b" and text("<p>a<svg/>b</p><p>c</p><svg><text>no</text></svg>d") == "a b c d"
+    assert text("<p>a</p><math/><p>b</p>") == "a b" and text("<p>a</p><svg><p>b</p>" * 2) == "a b a b"
+    assert text("<p>\u0130</p><SCRIPT>var x = 1</SCRIPT><p>b</p>") == "\u0130 b"
+    assert text("<p>a</p><script>x = '</scripts>'</Script ><p>b</p><STYLE>c</style/>d") == "a b d"
+    assert text("<p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math></p>") == "so x=1"
+    assert text("<xmp>a <b>c</b> &amp;</xmp>d") == "a <b>c</b> &amp; d"
+
+
+def test_math_in_an_article_is_kept():
+    prose = "The quick account of the matter goes on, as it has to, for a while, and then it ends with a point. " * 4
+    page = f"<html><body><nav><a href=/>Home</a></nav><article><h1>Title</h1><p>{prose}</p><p>{prose} <math><mi>velocity</mi></math> {prose}</p><p>{prose}</p></article></body></html>"
+    assert "velocity" in html.extract_many([page], html.trained_forest())[0]
