@@ -217,6 +217,33 @@ def test_repeated_tokens_share_evidence():
     assert kinds("the 555-7713 thing, +1 (017) 555-7713 again") == [("phone", "555-7713"), ("phone", "+1 (017) 555-7713")]
 
 
+def test_messages_reach_every_repeat():
+    """On a chain of repeats without cycles, message passing gives the exact probabilities."""
+    learned, shown = pii.trained_field(), "the 555-7713 thing "
+    for n, strength in [(2, 1), (8, 1), (40, 1), (8, 3), (40, 3)]:
+        field = pii.Field(learned.unary, learned.transition, learned.skip * strength)
+        found = pii.tokens(shown * n + "+1 (017) 555-7713 again " + shown * n)
+        chain = [t for t in found if t.key == "5557713"]
+        u = np.stack([t.x for t in found]) @ field.unary
+        pairs = [(i - 1, i, field.transition) for i, t in enumerate(found) if i and t.near]
+        at = [i for i, t in enumerate(found) if t in chain]
+        pairs += [(a, b, field.skip) for a, b in zip(at, at[1:])]
+        assert len(pairs) == len(found) - 1
+
+        def inward(i, above):
+            out = u[i].copy()
+            for a, b, w in pairs:
+                if i in (a, b) and above not in (a, b):
+                    j = b if i == a else a
+                    out = out + np.logaddexp.reduce(inward(j, i)[:, None] + (w.T if i == a else w), axis=0)
+            return out
+
+        got = field.probabilities(found)
+        for i in range(len(found)):
+            s = inward(i, None)
+            assert np.allclose(got[i], np.exp(s - np.logaddexp.reduce(s)), atol=0.01)
+
+
 def test_field_on_new_documents():
     r, field = np.random.default_rng(123), pii.trained_field()
     right = total = wrong = plain = 0
