@@ -9,6 +9,8 @@ labels every score is 0.5; repeated rows get equal scores; a null doc_id isn't h
 
 from __future__ import annotations
 
+import re
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -24,6 +26,8 @@ _LOWER = np.arange(ord("a"), ord("z") + 1)
 _DIGIT = np.arange(ord("0"), ord("9") + 1)
 _MARKS = np.array([ord(c) for c in ",.;:?'\"-()"])
 _SYMBOLS = np.array([ord(c) for c in "|&%$#*@^~<>=+_/\\{}[]`"])
+#: A symbol that ends a word.
+_ENDS = re.compile(rb"[|&%$#*!](?!\S)")
 
 NAMES = [
     "log_bytes", "log_words", "mean_word", "distinct_words", "log_lines", "mean_line", "distinct_lines", "upper", "lower", "digit",
@@ -44,13 +48,12 @@ def statistics(text: bytes) -> list[float]:
     seen = share[share > 0]
     m, k = max(1, len(words)), max(1, len(lines))
     symbols = counts[_SYMBOLS]
-    some = words[:: max(1, len(words) // 200)]
     return [
         np.log1p(n), np.log1p(len(words)), (n - len(words)) / m, len(set(words)) / m * min(1.0, np.sqrt(m / 50)),
         np.log1p(len(lines)), n / k, len(set(lines)) / k, share[_UPPER].sum(), share[_LOWER].sum(), share[_DIGIT].sum(),
         share[128:].sum(), share[_MARKS].sum(), symbols.sum() / n, share[ord("!")], symbols.max() / n, float(-(seen * np.log2(seen)).sum()),
         len(set(sentences)) / max(1, len(sentences)), sum(len(x) < 20 for x in lines) / k,
-        sum(x[-1] in b"|&%$#*!" for x in some) / max(1, len(some)), float(max(map(len, words), default=0)),
+        len(_ENDS.findall(text)) / m, float(max(map(len, words), default=0)),
     ]
 
 

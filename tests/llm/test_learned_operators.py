@@ -53,6 +53,16 @@ def test_quality_on_held_out_documents(part):
     assert t["score"].between(0, 1).all()
 
 
+def test_statistics_count_every_word():
+    at = quality.NAMES.index("words_ending_in_symbol")
+    for n in (1, 5, 399, 400, 1000, 5003):
+        for every in (2, 3, 7):
+            words = ["x|" if i % every == 1 else "y#z" for i in range(n)]
+            for gap in (" ", "\n", "\t \r\n"):
+                assert quality.statistics(gap.join(words).encode())[at] == sum(w.endswith("|") for w in words) / n
+    assert quality.statistics(b"  \n")[at] == 0
+
+
 def test_toxicity_on_held_out_documents(part):
     d, labels = part
     found = toxicity.detect(d, labels).cache()
