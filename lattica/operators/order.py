@@ -21,7 +21,7 @@ def with_position(frame: DataFrame, order: list, name: str = "position") -> Data
     A range sort deals the rows; each partition numbers its own, and the sizes of the partitions before it (one number a
     partition) are added. The dealt rows are written in between: both reads must see the same partitions.
     """
-    from lattica.sources.store import materialize
+    from lattica.sources.shared import materialize
 
     ordered = frame.sort(*order).withColumn("_part", F.spark_partition_id())
     local = materialize(ordered.withColumn("_in", F.monotonically_increasing_id() % F.lit(1 << 33)), "positions")

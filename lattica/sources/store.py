@@ -3,8 +3,6 @@
 from __future__ import annotations
 
 import json
-import os
-import tempfile
 import uuid
 from dataclasses import replace
 
@@ -21,23 +19,6 @@ class StoreError(RuntimeError):
     """The store changed meanwhile, or a version or member is missing or wrong."""
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share (spark.checkpoint.dir), or where that is unset a folder of our own."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = "file://" + os.path.join(tempfile.gettempdir(), "lattica-shared")
-        spark.conf.set("spark.checkpoint.dir", given)
-        spark.sparkContext.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Writes df to the shared folder and reads it back: a short lineage that survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 class Store:
     """Reads and writes through Hadoop's file systems, so any URI that Spark reads will do."""
 
