@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import os
 import tempfile
-import uuid
 import zipfile
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
+from lattica.sources.shared import discard, materialize, shared_dir  # noqa: F401
+
 _SHIPPED: set[str] = set()
 #: Rows of an Arrow batch while the session has Spark's default: whole texts make wide rows, and a batch is held
 #: by the JVM and by Python at once.
@@ -39,24 +41,6 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir, or where that is unset a folder of our own (local runs)."""
-    given = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not given:
-        given = "file://" + os.path.join(tempfile.gettempdir(), "lattica-shared")
-        spark.conf.set("spark.checkpoint.dir", given)
-        spark.sparkContext.setCheckpointDir(given)
-    return given.rstrip("/")
-
-
-def materialize(df: DataFrame, what: str) -> DataFrame:
-    """Cut the lineage: write df as Parquet to the shared folder and read it back. Survives the loss of any executor."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{what}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def as_bytes(column: pa.Array) -> list[bytes]:
     """UTF-8 bytes of a string column; null counts as empty."""
     return [b"" if x is None else x for x in column.cast(pa.binary()).to_pylist()]
@@ -67,17 +51,30 @@ def as_text(column: pa.Array) -> list[str]:
     return ["" if x is None else x for x in column.to_pylist()]
 
 
+def private(df: DataFrame, *names: str) -> list[str]:
+    """Names for columns of our own that df doesn't have (in any case of letters)."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        n = f"_{n}"
+        while n.lower() in taken:
+            n += "_"
+        taken.add(n.lower())
+        out.append(n)
+    return out
+
+
 def append_columns(df: DataFrame, fields: list[StructField], make) -> DataFrame:
     """df with new columns, computed batch by batch without a shuffle.
 
     make() is called once a task and returns batch -> list of Arrow arrays, one for each of fields.
-    A column of df whose name is among fields is replaced.
+    A column of df whose name is among fields (in any case of letters) is replaced.
     """
     ship_package(df.sparkSession)
-    new = {f.name for f in fields}
-    kept = [f for f in df.schema.fields if f.name not in new]
+    new = {f.name.lower() for f in fields}
+    kept = [f for f in df.schema.fields if f.name.lower() not in new]
     schema = StructType(kept + fields)
-    keep = [i for i, f in enumerate(df.schema.fields) if f.name not in new]
+    keep = [i for i, f in enumerate(df.schema.fields) if f.name.lower() not in new]
     names = [f.name for f in schema.fields]
 
     def run(batches):
@@ -89,6 +86,9 @@ def append_columns(df: DataFrame, fields: list[StructField], make) -> DataFrame:
     return df.mapInArrow(run, schema)
 
 
-def replace_columns(df: DataFrame, fields: list[StructField], make, inputs: list[str]) -> DataFrame:
-    """Like append_columns, but only the columns in inputs reach Python and only their first stays in the result."""
-    return append_columns(df.select(*inputs), fields, make).select(inputs[0], *[f.name for f in fields])
+def hot_lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> DataFrame:
+    """rows joined with table (one row a key). hot: the keys (column `key`) that many rows share, a bounded number of them:
+    these are looked up in a broadcast table, so that no task gets all rows of one key."""
+    few = F.broadcast(table.join(F.broadcast(hot.select(key)), key, "left_semi"))
+    apart = F.broadcast(hot.select(key))
+    return rows.join(apart, key, "left_anti").join(table, key).unionByName(rows.join(few, key))
