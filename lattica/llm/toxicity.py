@@ -1,19 +1,29 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index, distance-weighted votes.
 
-Terms are words and word prefixes. From a bounded sample of labelled documents, those are kept that toxic documents use
-in clearly more different surroundings (previous and next word) than others; counting surroundings instead of documents
-keeps copies of one document from making its words look telling. How many documents hold a term is counted over all
-documents. A document's neighbours are the labelled examples of largest cosine, found exactly: blocks of examples are
-visited in order of their bound and left out once the bound is below the k-th cosine. Votes are weighted by distance and
-calibrated on the labelled examples themselves, each without its own vote.
-
-Defined cases: a document without any kept term (null and empty texts too) has no neighbours and gets the share of toxic
-ones among labelled documents without terms; without labels every score is 0.5; repeated rows get equal scores.
+Terms are words and word prefixes; every term of the labelled sample is in the vocabulary. A term's weight in a text is
+(1 + log tf) x idf x relevance. idf counts all documents. Relevance is the square of log2(2 + the ratio of the term's
+share among toxic examples to that among the others), at least 1: the cosine is then drawn by the words that tell the
+classes apart, while all others still count. A term's share counts its different surroundings (previous and next word)
+instead of documents, which keeps copies of one document from making its words look telling.
+
+A text's neighbours are the labelled examples of largest cosine, found exactly: inverted lists hold the examples of each
+term in blocks, with the largest weight of each block. Terms that a large share of the examples holds have plain rows
+instead of lists; what they add is computed first, for many texts at once. To that the lists' block maxima are summed as
+bounds; the most promising blocks are scored, then those whose bound reaches the k-th cosine so far. Votes are weighted by cosine over distance. They are
+calibrated on examples whose labels had no part in the weights or the neighbours (two folds).
+
+Terms are held as 64-bit hashes; two terms of equal hash would count as one (odds of 1e-7 at a million terms).
+
+Defined cases: a text without any term of the vocabulary (null and empty texts too) has no neighbours and gets the share
+of toxic ones among such examples, drawn to the base rate; without labels, or with one class only, every score is the
+smoothed base rate (0.5 without labels); repeated rows get equal scores; ties in cosine go to the smaller id; columns of
+the tables beyond those named are ignored.
 """
 
 from __future__ import annotations
 
-import math
+from collections import Counter
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -21,216 +31,349 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
-from lattica.llm.common import append_columns, as_bytes, materialize, ship_package
+from lattica.llm.common import append_columns, as_bytes, ship_package
 from lattica.llm.decontam import words_of
 from lattica.llm.gbdt import sigmoid
-from lattica.llm.labelled import MAX_LABELLED, held_out, sample
+from lattica.llm.labelled import held_out, sample
 
 #: Lengths of the word prefixes (characters) that are terms too.
-PREFIXES = (4, 5, 6, 7, 8)
-#: Terms kept at most.
-MAX_TERMS = 1024
-#: Standard errors by which a term's log odds must be above zero.
-LEAST_Z = 3.3
+PREFIXES = (4, 6)
+#: So many labelled examples are indexed at most; labelled.MAX_BYTES bounds their texts.
+MAX_EXAMPLES = 3000
 NEIGHBOURS = 15
-BLOCK = 64
-_WORD_CACHE = 500_000
+BLOCK = 32
+#: A term that at least this share of the examples holds is stored as a row with a weight for each example.
+DENSE_SHARE = 1 / 16
+#: Texts whose dense terms are multiplied together.
+TOGETHER = 128
+#: Words whose terms a Python worker keeps.
+_WORD_CACHE = 150_000
 
 
 def terms_of(word: str) -> list[str]:
-    """The terms of a word: itself and its proper prefixes."""
-    return [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
+    """The terms of a word: itself and, for words with a letter, its proper prefixes."""
+    return [word] if word.isdigit() else [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
 
 
-def _surroundings(batches):
-    """(term, y, surroundings) once for each term of a document."""
+def hashes_of(word: bytes) -> list[int]:
+    """The hashes of a word's terms, as signed 64-bit numbers."""
     from xxhash import xxh64_intdigest
 
-    for batch in batches:
-        term, y, near = [], [], []
-        for text, label in zip(as_bytes(batch.column(0)), batch.column(1).to_pylist()):
-            words = words_of(text)
-            seen: dict[str, int] = {}
-            for i, w in enumerate(words):
-                if not w.isdigit():
-                    around = 0
-                    for t in terms_of(w.decode()):
-                        if t not in seen:
-                            around = around or xxh64_intdigest(b" ".join(words[max(0, i - 1) : i + 2])) >> 1
-                            seen[t] = around
-            term += seen
-            near += seen.values()
-            y += [label] * len(seen)
-        yield pa.RecordBatch.from_arrays([pa.array(term, pa.string()), pa.array(y, pa.int32()), pa.array(near, pa.int64())], names=["term", "y", "near"])
-
-
-def choose_terms(train: DataFrame, limit: int = MAX_TERMS) -> list[str]:
-    """The telling terms of the labelled sample (text, y), most telling first."""
-    ship_package(train.sparkSession)
-    sizes = {r["y"]: r["count"] for r in train.groupBy("y").count().collect()}
-    pos, neg = sizes.get(1, 0), sizes.get(0, 0)
-    if not pos or not neg:
-        return []
-    kinds = StructType([StructField("term", StringType()), StructField("y", IntegerType()), StructField("near", LongType())])
-    rows = train.select("text", "y").mapInArrow(_surroundings, kinds).distinct()
-    seen = rows.groupBy("term").agg(F.sum("y").alias("a"), F.sum(1 - F.col("y")).alias("b")).filter("a >= 4")
-    odds = F.log((F.col("a") + 0.5) / (pos + 1)) - F.log((F.col("b") + 0.5) / (neg + 1))
-    z = odds / F.sqrt(1 / (F.col("a") + 0.5) + 1 / (F.col("b") + 0.5))
-    best = seen.select("term", odds.alias("odds"), z.alias("z")).filter(f"z >= {LEAST_Z} AND odds >= {math.log(4)}").orderBy(F.desc("z"), "term").limit(limit)
-    return [r["term"] for r in best.collect()]  # at most `limit`
-
-
-def count_terms(docs: DataFrame, terms: list[str], text_col: str = "text") -> DataFrame:
-    """docs with the kept terms of each text (numbers in the list) and how often they occur."""
-    shared = docs.sparkSession.sparkContext.broadcast({t: i for i, t in enumerate(terms)})
-    at = docs.columns.index(text_col)
+    return [xxh64_intdigest(t) - (1 << 63) for t in terms_of(word.decode("utf-8", "replace"))]
 
-    def make():
-        number = shared.value
-        known: dict[bytes, tuple[int, ...]] = {}
-
-        def find(word: bytes) -> tuple[int, ...]:
-            if len(known) >= _WORD_CACHE:
-                known.clear()
-            got = known[word] = tuple(number[t] for t in terms_of(word.decode()) if t in number)
-            return got
-
-        def work(batch):
-            ids, counts = [], []
-            for text in as_bytes(batch.column(at)):
-                found: dict[int, int] = {}
-                if number:
-                    for w in words_of(text):
-                        got = known.get(w)
-                        if got is None:
-                            got = find(w)
-                        for t in got:
-                            found[t] = found.get(t, 0) + 1
-                order = sorted(found)
-                ids.append(order)
-                counts.append([found[t] for t in order])
-            return [pa.array(ids, pa.list_(pa.int32())), pa.array(counts, pa.list_(pa.int32()))]
 
-        return work
+def _example_terms(text: bytes) -> tuple[list[int], list[int], list[int]]:
+    """An example's term hashes, counts, and a hash of the surroundings of each term's first place."""
+    from xxhash import xxh64_intdigest
 
-    return append_columns(docs, [StructField("terms", ArrayType(IntegerType())), StructField("counts", ArrayType(IntegerType()))], make)
+    words = words_of(text)
+    count: dict[int, int] = {}
+    near: dict[int, int] = {}
+    terms: dict[bytes, list[int]] = {}
+    for i, w in enumerate(words):
+        known = terms.get(w)
+        if known is None:
+            known = terms[w] = hashes_of(w)
+            around = xxh64_intdigest(b" ".join(words[max(0, i - 1) : i + 2])) >> 1
+            for t in known:
+                near.setdefault(t, around)
+        for t in known:
+            count[t] = count.get(t, 0) + 1
+    return list(count), list(count.values()), [near[t] for t in count]
+
+
+def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The numbers of [start, end) of every pair, one pair after the other, and how many each pair gives."""
+    n = end - start
+    return np.repeat(start - np.cumsum(n) + n, n) + np.arange(n.sum()), n
+
+
+class Examples:
+    """Labelled examples as arrays: of each (example, term) pair the term's number, count and surroundings."""
+
+    def __init__(self, ids: np.ndarray, y: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, near: np.ndarray):
+        self.ids, self.y, self.sizes = ids, y.astype(float), sizes
+        self.vocabulary, self.term = np.unique(terms, return_inverse=True)
+        self.tf, self.near = 1 + np.log(counts.astype(float)), near
+        self.at = np.concatenate([[0], np.cumsum(sizes)])
+        self.owner = np.repeat(np.arange(len(ids)), sizes)
+
+    def relevance(self, chosen: np.ndarray) -> np.ndarray:
+        """Each term's relevance, from the examples chosen (a mask)."""
+        rows = np.flatnonzero(chosen[self.owner])
+        places = np.stack([self.term[rows], self.y[self.owner[rows]].astype(np.int64), self.near[rows]])
+        places = places[:, np.lexsort(places)]
+        new = np.ones(places.shape[1], bool)
+        new[1:] = (places[:, 1:] != places[:, :-1]).any(0)
+        term, label = places[0, new], places[1, new]
+        toxic, other = (np.bincount(term[label == c], minlength=len(self.vocabulary)) for c in (1, 0))
+        pos, neg = self.y[chosen].sum(), (1 - self.y[chosen]).sum()
+        return np.log2(2 + toxic / (pos + 1) / ((other + 1) / (neg + 1))) ** 2
+
+    def of(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        """An example's term numbers and 1 + log counts."""
+        at = slice(self.at[i], self.at[i + 1])
+        return self.term[at], self.tf[at]
 
 
 class BlockMaxIndex:
-    """Inverted lists of unit vectors by term, in blocks of examples, each with its largest weight."""
-
-    def __init__(self, ids: list[int], vectors: list[tuple[np.ndarray, np.ndarray]], n_terms: int, block: int = BLOCK):
-        heavy = [int(t[np.argmax(w)]) for t, w in vectors]
-        order = sorted(range(len(ids)), key=lambda i: (heavy[i], ids[i]))  # like examples share blocks: tight bounds
-        self.block, self.ids = block, np.array([ids[i] for i in order], np.int64)
-        self.blocks = -(-len(ids) // block)
-        self.lists = np.zeros((n_terms, self.blocks * block), np.float64)
-        for k, i in enumerate(order):
-            self.lists[vectors[i][0], k] = vectors[i][1]
-        self.top = self.lists.reshape(n_terms, self.blocks, block).max(2) if self.blocks else np.zeros((n_terms, 0))
-        self.order = order
-
-    def search(self, terms: np.ndarray, weights: np.ndarray, k: int, skip: int = -1) -> tuple[np.ndarray, np.ndarray]:
-        """Places (in this index) and cosines of the k nearest examples; ties go to the smaller id. skip: a place left out."""
-        bound = weights @ self.top[terms]
-        places, cosines, least = np.zeros(0, np.int64), np.zeros(0), 0.0
-        for b in np.argsort(-bound, kind="stable"):
-            if bound[b] <= 0 or len(places) >= k and bound[b] < least - 1e-12:
+    """Inverted lists of the chosen examples' unit vectors: of each term its blocks with their largest weight, of each
+    block of a term its examples with their weights."""
+
+    def __init__(self, examples: Examples, chosen: np.ndarray, weight: np.ndarray, block: int = BLOCK):
+        rows = np.flatnonzero(chosen[examples.owner])
+        term, owner = examples.term[rows], examples.owner[rows]
+        w = examples.tf[rows] * weight[term]
+        w /= np.sqrt(np.bincount(owner, w * w, len(examples.ids)))[owner]
+        heavy = np.zeros(len(examples.ids), np.int64)
+        by = np.lexsort((term, w))
+        heavy[owner[by]] = term[by]  # the last one written is the heaviest
+        order = np.flatnonzero(chosen & (examples.sizes > 0))
+        order = order[np.lexsort((examples.ids[order], heavy[order]))]  # like examples share blocks: tight bounds
+        place = np.zeros(len(examples.ids), np.int64)
+        place[order] = np.arange(len(order))
+        self.n, self.block, self.blocks = len(order), block, -(-len(order) // block)
+        self.ids, self.y = examples.ids[order], examples.y[order]
+        self.weight = weight
+        at = place[owner]
+        held = np.bincount(term, minlength=len(weight))
+        often = held >= max(2.0, DENSE_SHARE * self.n)
+        self.row = np.where(often, np.cumsum(often) - 1, -1)  # a dense term's row
+        self.dense = np.zeros((int(often.sum()), self.blocks * block))
+        self.dense[self.row[term[often[term]]], at[often[term]]] = w[often[term]]
+        rare = np.flatnonzero(~often[term])
+        by = rare[np.lexsort((at[rare], term[rare]))]
+        term, at, w = term[by], at[by], w[by]
+        self.example, self.value = at.astype(np.int32), w
+        group = np.flatnonzero(np.concatenate([[True], (term[1:] != term[:-1]) | (at[1:] // block != at[:-1] // block)])) if len(term) else np.zeros(0, np.int64)
+        self.first = np.concatenate([group, [len(term)]])  # the postings of each (term, block)
+        self.of_block = (at[group] // block).astype(np.int32)
+        self.top = np.maximum.reduceat(w, group) if len(group) else np.zeros(0)
+        self.lists = np.searchsorted(term[group], np.arange(len(weight) + 1))  # the (term, block) pairs of each term
+
+    def search_many(self, texts: list[tuple[np.ndarray, np.ndarray]], k: int = NEIGHBOURS):
+        """For each text (its terms, 1 + log counts) the places in this index and cosines of the k nearest examples of
+        cosine above 0, nearest first; ties go to the smaller id."""
+        for begin in range(0, len(texts), TOGETHER):
+            some = texts[begin : begin + TOGETHER]
+            weights = [w / np.sqrt((w * w).sum()) for w in (tf * self.weight[terms] for terms, tf in some)]
+            matrix = np.zeros((len(some), len(self.dense)))
+            for i, ((terms, _), w) in enumerate(zip(some, weights)):
+                row = self.row[terms]
+                matrix[i, row[row >= 0]] = w[row >= 0]
+            for (terms, _), w, sure in zip(some, weights, matrix @ self.dense):
+                rare = self.row[terms] < 0
+                yield self._search(terms[rare], w[rare], sure, k)
+
+    def _search(self, terms: np.ndarray, w: np.ndarray, sure: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
+        entry, n = ranges(self.lists[terms], self.lists[terms + 1])
+        w, block = np.repeat(w, n), self.of_block[entry]
+        bound = np.bincount(block, w * self.top[entry], self.blocks) + sure.reshape(self.blocks, self.block).max(1)
+        order = np.argsort(-bound, kind="stable")
+        order = order[bound[order] > 0]
+        places, cosines, least, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
+        while done < len(order):
+            # the first round takes twice the blocks that k examples fill, the second all that can still matter
+            take = order[done : done + 2 * -(-k // self.block)] if not done else order[done:]
+            done += len(take)
+            if len(places) >= k:
+                take = take[bound[take] >= least - 1e-9]
+            if not len(take):
                 break
-            at = slice(b * self.block, (b + 1) * self.block)
-            c = weights @ self.lists[terms, at]
-            here = np.flatnonzero((c > 0) & (c >= least - 1e-12)) if len(places) >= k else np.flatnonzero(c > 0)
-            here = here[here + b * self.block != skip]
-            if len(here):
-                places = np.concatenate([places, here + b * self.block])
-                cosines = np.concatenate([cosines, c[here]])
-                if len(places) > k:
-                    best = np.lexsort((self.ids[places], -np.round(cosines, 12)))[:k]
-                    places, cosines = places[best], cosines[best]
-                if len(places) >= k:
-                    least = cosines.min()
-        best = np.lexsort((self.ids[places], -np.round(cosines, 12)))
+            opened = np.zeros(self.blocks, bool)
+            opened[take] = True
+            rows = np.flatnonzero(opened[block])
+            e = entry[rows]
+            posting, m = ranges(self.first[e], self.first[e + 1])
+            c = sure + np.bincount(self.example[posting], np.repeat(w[rows], m) * self.value[posting], len(sure))
+            here = np.flatnonzero(np.repeat(opened, self.block) & (c > 0) & (c >= least - 1e-9))
+            places, cosines = np.concatenate([places, here]), np.concatenate([cosines, np.round(c[here], 9)])
+            if len(places) > k:
+                best = np.lexsort((self.ids[places], -cosines))[:k]
+                places, cosines = places[best], cosines[best]
+                least = cosines.min()
+        best = np.lexsort((self.ids[places], -cosines))
         return places[best], cosines[best]
 
 
+def vote(y: np.ndarray, cosines: np.ndarray, prior: float) -> float:
+    """Log odds of the neighbours' distance-weighted vote."""
+    c = np.minimum(cosines, 1)
+    weight = c / (1.02 - c)
+    share = min(max(float((weight @ y + 0.5 * prior) / (weight.sum() + 0.5)), 0.005), 0.995)
+    return float(np.log(share / (1 - share)))
+
+
 class Model:
-    """Kept terms' weights, the index of labelled examples, and the calibration of the votes."""
-
-    def __init__(self, idf: np.ndarray, examples: list[tuple[int, list[int], list[int], int]], k: int = NEIGHBOURS):
-        self.idf, self.k = idf, k
-        rows = sorted(e for e in examples if e[1])
-        self.index = BlockMaxIndex([e[0] for e in rows], [self.vector(e[1], e[2]) for e in rows], len(idf))
-        self.y = np.array([rows[i][3] for i in self.index.order], float)
-        bare = [e[3] for e in examples if not e[1]]
-        self.without = (sum(bare) + 0.5) / (len(bare) + 1)
-        votes = np.array([self.vote(rows[i][1], rows[i][2], skip=place)[0] for place, i in enumerate(self.index.order)])
-        hits = np.array([sum(rows[i][2]) for i in self.index.order], float)
-        self.line = self._calibrate(votes, hits)
-
-    def vector(self, terms: list[int], counts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-        t = np.array(terms, np.int64)
-        w = (1 + np.log(np.array(counts, float))) * self.idf[t]
-        return t, w / np.sqrt((w * w).sum())
-
-    def vote(self, terms: list[int], counts: list[int], skip: int = -1) -> tuple[float, np.ndarray, np.ndarray]:
-        places, cosines = self.index.search(*self.vector(terms, counts), self.k, skip)
-        weight = 1 / (1.02 - np.minimum(cosines, 1))
-        prior = 0.5
-        return float((weight @ self.y[places] + prior * self.without) / (weight.sum() + prior)), places, cosines
-
-    def _calibrate(self, votes: np.ndarray, hits: np.ndarray) -> np.ndarray:
-        """Logistic regression of the label on the vote and the number of hits, with a small penalty (Newton steps)."""
-        if not len(votes) or self.y.min() == self.y.max():
-            return np.array([-2.0, 4.0, 0.0])
-        x = np.stack([np.ones_like(votes), votes, np.log(hits)], 1)
-        b = np.zeros(3)
-        for _ in range(30):
-            p = sigmoid(x @ b)
-            hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(3)
-            b += np.linalg.solve(hess, x.T @ (self.y - p) - 0.1 * b)
-        return b
-
-    def score(self, terms: list[int], counts: list[int]) -> tuple[float, str]:
-        """Calibrated score, and the evidence: the nearest examples with their labels and cosines."""
-        if not terms or not len(self.y):
-            return self.without, ""
-        v, places, cosines = self.vote(terms, counts)
-        p = float(sigmoid(np.array([self.line @ np.array([1.0, v, math.log(sum(counts))])]))[0])
-        return p, ",".join(f"{self.index.ids[i]}:{int(self.y[i])}:{c:.3f}" for i, c in zip(places[:3], cosines[:3]))
-
-
-def detect(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int = MAX_LABELLED, threshold: float = 0.7) -> DataFrame:
+    """The vocabulary's weights, the index of all examples, and the calibration of the votes."""
+
+    def __init__(self, examples: Examples, frequency: np.ndarray, n_docs: int):
+        y, n = examples.y, len(examples.y)
+        self.prior = float((y.sum() + 0.5) / (n + 1))
+        bare = y[examples.sizes == 0]
+        self.without = float((bare.sum() + self.prior) / (len(bare) + 1))
+        self.vocabulary = examples.vocabulary
+        self.usable = bool(n and y.min() < y.max())
+        if not self.usable:
+            return
+        idf = np.log((1 + n_docs) / (1 + frequency)) + 1
+        everything = np.ones(n, bool)
+        self.index = BlockMaxIndex(examples, everything, idf * examples.relevance(everything))
+        # two folds by text, so that copies of one text share a fold
+        fold = np.array([int(examples.near[examples.at[i] : examples.at[i + 1]].sum()) >> 3 & 1 for i in range(n)])
+        votes, labels = [], []
+        for f in (0, 1):
+            known = fold != f
+            if known.any() and y[known].min() < y[known].max():
+                index = BlockMaxIndex(examples, known, idf * examples.relevance(known))
+                others = np.flatnonzero(~known & (examples.sizes > 0))
+                votes += [vote(index.y[p], c, self.prior) for p, c in index.search_many([examples.of(i) for i in others])]
+                labels += y[others].tolist()
+        self.line = calibrate(np.array(votes), np.array(labels))
+
+    def score_many(self, texts: list[tuple[np.ndarray, np.ndarray]]) -> list[tuple[float, str]]:
+        """Calibrated scores, and the evidence: the nearest examples with their labels and cosines."""
+        out = [(self.without if self.usable else self.prior, "")] * len(texts)
+        if not self.usable:
+            return out
+        with_terms = [i for i, (terms, _) in enumerate(texts) if len(terms)]
+        for i, (places, cosines) in zip(with_terms, self.index.search_many([texts[i] for i in with_terms])):
+            if len(places):
+                v = vote(self.index.y[places], cosines, self.prior)
+                p = float(sigmoid(np.array([self.line[0] + self.line[1] * v]))[0])
+                out[i] = p, ",".join(f"{self.index.ids[j]}:{int(self.index.y[j])}:{c:.3f}" for j, c in zip(places[:3], cosines[:3]))
+        return out
+
+
+def calibrate(votes: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression of the label on the vote's log odds, with a small penalty (Newton steps)."""
+    if not len(votes) or y.min() == y.max():
+        return np.array([0.0, 1.0])
+    x = np.stack([np.ones_like(votes), votes], 1)
+    b = np.zeros(2)
+    for _ in range(40):
+        p = sigmoid(x @ b)
+        hess = (x * (p * (1 - p))[:, None]).T @ x + 0.1 * np.eye(2)
+        b += np.linalg.solve(hess, x.T @ (y - p) - 0.1 * b)
+    return b
+
+
+class TermCounter:
+    """Term numbers of texts, by a vocabulary of sorted hashes; keeps the terms of a bounded number of words."""
+
+    def __init__(self, vocabulary: np.ndarray):
+        self.vocabulary, self.known = vocabulary, {}
+
+    def _learn(self, fresh: list[bytes]) -> dict[bytes, tuple[int, ...]]:
+        hashes = [hashes_of(w) for w in fresh]
+        flat = np.array([h for hs in hashes for h in hs], np.int64)
+        if len(self.vocabulary):
+            at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
+            at = np.where(self.vocabulary[at] == flat, at, -1).tolist()
+        else:
+            at = [-1] * len(flat)
+        out, k = {}, 0
+        for w, hs in zip(fresh, hashes):
+            out[w] = tuple(t for t in at[k : k + len(hs)] if t >= 0)
+            k += len(hs)
+        return out
+
+    def _of(self, words) -> dict[bytes, tuple[int, ...]]:
+        """A dict that holds the terms of all the words."""
+        fresh = [w for w in words if w not in self.known]
+        if fresh:
+            if len(self.known) + len(fresh) > _WORD_CACHE:
+                self.known.clear()
+                fresh = list(words)
+            learned = self._learn(fresh)
+            if len(fresh) > _WORD_CACHE:  # one very long text: not kept
+                return learned
+            self.known.update(learned)
+        return self.known
+
+    def present(self, text: bytes) -> np.ndarray:
+        """The distinct terms of a text."""
+        words = set(words_of(text))
+        found = set().union(*map(self._of(words).__getitem__, words))
+        return np.fromiter(found, np.int64, len(found))
+
+    def terms(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
+        """The distinct terms of a text in order, and 1 + the logs of their counts."""
+        words = Counter(words_of(text))
+        lists = list(map(self._of(words.keys()).__getitem__, words))
+        flat = np.fromiter(chain.from_iterable(lists), np.int64)
+        n = np.repeat(np.fromiter(words.values(), float, len(words)), np.fromiter(map(len, lists), np.int64, len(lists)))
+        terms, at = np.unique(flat, return_inverse=True)
+        return terms, 1 + np.log(np.bincount(at, n, len(terms)))
+
+
+def _collect_examples(train: DataFrame) -> Examples:
+    """The sample's terms on the driver: at most MAX_EXAMPLES texts of labelled.MAX_BYTES together."""
+    kinds = StructType(
+        [StructField("doc_id", LongType()), StructField("y", IntegerType())]
+        + [StructField("terms", ArrayType(LongType())), StructField("counts", ArrayType(IntegerType())), StructField("near", ArrayType(LongType()))]
+    )
+
+    def run(batches):
+        for batch in batches:
+            made = [_example_terms(t) for t in as_bytes(batch.column(2))]
+            lists = [pa.array([m[k] for m in made], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=kinds.names)
+
+    rows = train.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(run, kinds).toArrow().combine_chunks().sort_by("doc_id")
+    flat = lambda c: (rows[c].combine_chunks().flatten() if rows.num_rows else rows[c]).to_numpy()
+    sizes = np.array([len(x) for x in rows["terms"]], np.int64) if rows.num_rows else np.zeros(0, np.int64)
+    if not rows.num_rows:
+        return Examples(np.zeros(0, np.int64), np.zeros(0), sizes, *(np.zeros(0, np.int64),) * 3)
+    return Examples(rows["doc_id"].to_numpy(), rows["y"].to_numpy(), sizes, flat("terms"), flat("counts"), flat("near"))
+
+
+def document_frequency(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
+    """In how many documents each term of the vocabulary is, and how many documents there are; counted over all of docs.
+
+    Every task adds up its own documents and gives one row a term it met; only those rows are shuffled.
+    """
+    shared = docs.sparkSession.sparkContext.broadcast(vocabulary)
+    kinds = StructType([StructField("term", IntegerType()), StructField("n", LongType())])
+
+    def run(batches):
+        counter = TermCounter(shared.value)
+        n, seen = 0, np.zeros(len(counter.vocabulary), np.int64)
+        for batch in batches:
+            for text in as_bytes(batch.column(0)):
+                n += 1
+                seen[counter.present(text)] += 1
+        met = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], met]).astype(np.int32)), pa.array(np.concatenate([[n], seen[met]]))], names=kinds.names)
+
+    rows = docs.select(text_col).mapInArrow(run, kinds).groupBy("term").agg(F.sum("n").alias("n")).toArrow()
+    term, n = rows["term"].to_numpy(), rows["n"].to_numpy()
+    out = np.zeros(len(vocabulary), np.int64)
+    out[term[term >= 0]] = n[term >= 0]
+    return out, int(n[term < 0].sum())
+
+
+def detect(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int = MAX_EXAMPLES, threshold: float = 0.7) -> DataFrame:
     """doc_id, held_out, score, predicted, evidence of each document."""
     spark = docs.sparkSession
-    train = materialize(sample(docs, labels, target, limit), "toxicity-train")
-    terms = choose_terms(train)
-    counted = materialize(count_terms(docs.select("doc_id", "text"), terms).drop("text"), "toxicity-terms")
-    n = counted.count()
-    frequency = {r[0]: r[1] for r in counted.select(F.explode("terms").alias("t")).groupBy("t").count().collect()}  # at most MAX_TERMS
-    idf = np.array([math.log((1 + n) / (1 + frequency.get(i, 0))) + 1 for i in range(len(terms))])
-    known = train.select("doc_id", "y").dropDuplicates(["doc_id"])
-    rows = counted.join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"]).collect()  # at most `limit`
-    model = Model(idf, [(r["doc_id"], r["terms"], r["counts"], r["y"]) for r in rows])
-    shared = spark.sparkContext.broadcast(model)
+    ship_package(spark)
+    examples = _collect_examples(sample(docs, labels, target, limit))
+    frequency, n_docs = document_frequency(docs, examples.vocabulary)
+    shared = spark.sparkContext.broadcast(Model(examples, frequency, n_docs))
 
     def make():
-        m = shared.value
-        known: dict[tuple, tuple[float, str]] = {}
+        model = shared.value
+        counter = TermCounter(model.vocabulary)
 
         def work(batch):
-            p, why = [], []
-            for t, c in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                key = (*t, -1, *c)
-                if key not in known:
-                    if len(known) > 100_000:
-                        known.clear()
-                    known[key] = m.score(t, c)
-                p.append(known[key][0])
-                why.append(known[key][1])
+            texts = as_bytes(batch.column(1))
+            one = list(dict.fromkeys(texts))  # copies in a batch are scored once
+            found = dict(zip(one, model.score_many([counter.terms(t) for t in one])))
+            p, why = [found[t][0] for t in texts], [found[t][1] for t in texts]
             return [pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(why, pa.string())]
 
         return work
 
     fields = [StructField("score", DoubleType()), StructField("predicted", IntegerType()), StructField("evidence", StringType())]
-    found = append_columns(counted, fields, make)
+    found = append_columns(docs.select("doc_id", "text"), fields, make)
     return found.select("doc_id", held_out().alias("held_out"), "score", "predicted", "evidence")
