@@ -1,15 +1,17 @@
 """Secret scans: base patterns, and a character convolutional network over every candidate token in its context.
 
-A candidate is a run of at least MIN_CANDIDATE key characters of any kind. What a base match covers is found already:
-candidates are cut there, and each piece of MIN_CANDIDATE characters or more goes through the network (embedding, one
-convolution, maximum over positions, logistic output), which sees the piece's characters and those around it. A piece
-longer than BODY is seen whole, in windows of BODY characters that overlap by half; the windows found are joined,
-and run on to the ends of the letters and digits they cut. The network is trained on labelled findings: generated ones
-of known kinds in generated surroundings, alone or inside longer runs, and, as hard negatives, ordinary candidates. Its output is calibrated on findings it wasn't trained on, and of the thresholds
-that keep the asked recall there, the one of best F1 is used.
+A candidate is a base match, or a run of at least MIN_CANDIDATE key characters of any kind; such runs are cut at base
+matches, and each piece of MIN_CANDIDATE characters or more is one. Every candidate goes through the network (embedding,
+one convolution, maximum over positions, logistic output), which sees its characters and those around it. One longer
+than BODY is seen whole, in windows of BODY characters that overlap by half. A base match is a span whatever the network
+says, and gets the network's probability; of other candidates the windows found are joined, and run on to the ends of
+the letters and digits they cut. The network is trained on labelled findings: generated ones of known kinds in generated
+surroundings, alone or inside longer runs, and, as hard negatives, ordinary candidates. Its output is calibrated on
+findings it wasn't trained on, and of the thresholds that keep the asked recall there, the one of best F1 is used.
 
 Defined cases: null counts as empty; an empty text has no spans; texts of any length are scanned whole; repeated rows
-are scanned each for itself; columns with a result's name are replaced.
+are scanned each for itself; `scan` replaces columns with a result's name, `redact` keeps all columns but the text and
+n_chars as they are, whatever their names; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -22,9 +24,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField
+from pyspark.sql.types import IntegerType, LongType, StringType, StructField
 
-from lattica.llm.common import append_columns, as_text
+from lattica.llm.common import append_columns, as_text, private
 from lattica.llm.gbdt import sigmoid
 
 #: Fixed patterns; letters of the words before the separator in either case.
@@ -100,27 +102,28 @@ class Network:
             "v": r.normal(0, 0.2, 2 * filters),
             "c": np.zeros(1),
         }
+        self.p = {k: v.astype(np.float32) for k, v in self.p.items()}
         self.scale, self.shift, self.threshold = 1.0, 0.0, 0.5
 
     def _forward(self, x: np.ndarray):
-        e = self.p["e"][x]
-        n, width, size = e.shape
-        m = width - self.width + 1
-        windows = np.concatenate([e[:, k : k + m] for k in range(self.width)], 2)
-        z = windows @ self.p["w"] + self.p["b"]
+        # the convolution of embedded characters, as sums of one table a place in the window: codes x filters
+        size, m = self.p["e"].shape[1], x.shape[1] - self.width + 1
+        z = np.repeat(self.p["b"][None, None], len(x), 0)
+        for t in range(self.width):
+            z = z + (self.p["e"] @ self.p["w"][t * size : (t + 1) * size])[x[:, t : t + m]]
         a = np.maximum(z, 0)
         top = a.argmax(1)
         pooled = np.concatenate([a.max(1), a.mean(1)], 1)
-        return windows, a, top, pooled, pooled @ self.p["v"] + self.p["c"][0]
+        return a, top, pooled, pooled @ self.p["v"] + self.p["c"][0]
 
     def logits(self, x: np.ndarray) -> np.ndarray:
-        out = [self._forward(x[k : k + 512])[-1] for k in range(0, len(x), 512)]
+        out = [self._forward(x[k : k + 512])[-1].astype(float) for k in range(0, len(x), 512)]
         return np.concatenate(out) if out else np.zeros(0)
 
     def probability(self, x: np.ndarray) -> np.ndarray:
         return sigmoid(self.scale * self.logits(x) + self.shift)
 
-    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 8, batch: int = 64, rate: float = 0.005, seed: int = 11) -> None:
+    def train(self, x: np.ndarray, y: np.ndarray, epochs: int = 7, batch: int = 64, rate: float = 0.005, seed: int = 11) -> None:
         r = np.random.default_rng(seed)
         first = {k: np.zeros_like(v) for k, v in self.p.items()}
         second = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -130,28 +133,30 @@ class Network:
             for k in range(0, len(y), batch):
                 rows = order[k : k + batch]
                 xb, yb = x[rows], y[rows]
-                windows, a, top, pooled, out = self._forward(xb)
-                d = (sigmoid(out) - yb) / len(rows)
-                f = a.shape[2]
+                a, top, pooled, out = self._forward(xb)
+                d = ((sigmoid(out) - yb) / len(rows)).astype(np.float32)
+                m, f = a.shape[1:]
                 g = {"v": pooled.T @ d, "c": np.array([d.sum()])}
                 dp = d[:, None] * self.p["v"]
-                da = np.repeat(dp[:, None, f:] / a.shape[1], a.shape[1], 1)
-                i, j = np.meshgrid(np.arange(len(rows)), np.arange(f), indexing="ij")
-                np.add.at(da, (i, top, j), dp[:, :f])
-                dz = da * (a > 0)
-                g["b"] = dz.sum((0, 1))
-                g["w"] = windows.reshape(-1, windows.shape[2]).T @ dz.reshape(-1, f)
-                dw = dz @ self.p["w"].T
+                da = np.repeat(dp[:, None, f:] / m, m, 1)
+                i, j = np.arange(len(rows))[:, None], np.arange(f)[None]
+                da[i, top, j] += dp[:, :f]
+                dz = (da * (a > 0)).reshape(-1, f)
+                g["b"] = dz.sum(0)
                 size = self.p["e"].shape[1]
-                ge = np.zeros_like(self.p["e"])
+                one = np.zeros((*xb.shape, _CODES), np.float32)
+                np.put_along_axis(one, xb[:, :, None], np.float32(1), 2)
+                g["w"], g["e"] = np.zeros_like(self.p["w"]), np.zeros_like(self.p["e"])
                 for t in range(self.width):
-                    np.add.at(ge, xb[:, t : t + a.shape[1]], dw[:, :, t * size : (t + 1) * size])
-                g["e"] = ge
+                    table = one[:, t : t + m].reshape(-1, _CODES).T @ dz
+                    part = slice(t * size, (t + 1) * size)
+                    g["w"][part] = self.p["e"].T @ table
+                    g["e"] += table @ self.p["w"][part].T
                 step += 1
                 for name, grad in g.items():
                     first[name] = 0.9 * first[name] + 0.1 * grad
                     second[name] = 0.99 * second[name] + 0.01 * grad * grad
-                    self.p[name] = self.p[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-8)
+                    self.p[name] = self.p[name] - rate * (first[name] / (1 - 0.9**step)) / (np.sqrt(second[name] / (1 - 0.99**step)) + 1e-7)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float = RECALL) -> None:
         """Platt scaling; then, of the thresholds that keep the recall on these findings, the one of best F1 nearest 0.5."""
@@ -193,6 +198,14 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         " ahora antes ciudad cuando desarrollo desde despues donde escuela gente hacia hombre manera mejor mientras mundo"
         " nuestro palabra porque siempre tiempo trabajo cion dad mente ing ly ous the and of in to der die das und le la el"
     ).split()
+    # parts that long words are made of
+    morphemes = (
+        "ver be ent er zer ge un vor nach aus ein auf ab an zu sch ach ich isch lich keit heit ung schaft nis tum sam bar haft"
+        " en em es te st tz ng der die das des nicht und in zu bei hand land werk zeug berg haus arbeit zeit stadt recht"
+        " re con com dis pro pre inter trans sub des par sur ment tion sion ance ence eux aux eau que eur oir age ette"
+        " cion mente dad miento ador ista able ible ar er ir ado ido ando endo os as la el lo"
+        " an on in th the he her ed ing ly ness ful less est ion ti al ic ous ive ize ha nd nt ere re ou"
+    ).split()
     word = lambda: "".join(r.choice(syllables, r.integers(1, 5))) if r.random() < 0.5 else str(r.choice(known))
     # one long word, of syllables, known words or both
     compound = lambda low, high: "".join(r.choice(syllables + known * int(r.integers(0, 2)), r.integers(6, 16)))[: r.integers(low, high)]
@@ -210,6 +223,9 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: pick(lower + upper, r.integers(20, 41)),
         lambda: pick(upper, r.integers(20, 41)),
         lambda: pick(lower, r.integers(20, 41)),
+        lambda: pick("0123456789abcdef", r.integers(24, 65)),
+        lambda: "AKIA" + pick(upper + digit, r.integers(16, 21)),
+        lambda: r.choice(["password", "passwd", "secret", "token", "api_key", "apikey"]) + r.choice(["=", ":", "='"]) + pick(full + "_-", r.integers(10, 33)),
     ]
     plain = [
         lambda: "-".join([word(), word(), word(), str(r.integers(1, 3000))]) + word(),
@@ -231,6 +247,9 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
         lambda: str(r.choice(list("=-_+/ax0"))) * r.integers(16, 60),
         lambda: pick(digit, 16),
         lambda: pick(digit, r.integers(16, 41)),
+        lambda: pick(digit, r.integers(16, 20)),
+        lambda: "".join(r.choice(morphemes, 12))[: r.integers(16, 26)],
+        lambda: "".join(r.choice(morphemes, 12))[: r.integers(16, 26)].capitalize(),
     ]
     # paths around a secret, or without one
     around = lambda: "/".join(word() + (str(r.integers(0, 99)) if r.random() < 0.2 else "") for _ in range(r.integers(4, 12)))
@@ -262,36 +281,45 @@ def labelled_findings(n: int, seed: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 @cache
-def trained_network(n: int = 3000, seed: int = 3) -> Network:
+def trained_network(n: int = 8000, seed: int = 3) -> Network:
     """The network, trained and calibrated on labelled findings; the same one each time."""
     network = Network()
     network.train(*labelled_findings(n, seed))
-    network.calibrate(*labelled_findings(n // 2, seed + 1))
+    network.calibrate(*labelled_findings(n // 3, seed + 1))
     return network
 
 
-def scan_text(text: str, network: Network) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]]]:
-    """Base spans, and all spans (those of the network have kind cnn)."""
+def scan_text(text: str, network: Network) -> tuple[list[tuple[int, int, str]], list[tuple[int, int, str]], list[float], int]:
+    """Base spans, all spans (those of the network have kind cnn), the network's probability of each, and how many
+    candidates it scored."""
     base = base_spans(text)
-    seen = [(c, w) for c in candidates(text, base) for w in windows(*c)]
+    pieces = candidates(text, base)
+    seen = [(k, w) for k, (a, b, _) in enumerate(base) for w in windows(a, b)] + [(len(base) + k, w) for k, c in enumerate(pieces) for w in windows(*c)]
     if not seen:
-        return base, base
+        return base, base, [], 0
+    sure = [0.0] * len(base)
     more: list[tuple[int, int, str]] = []
-    for k in range(0, len(seen), 512):
-        part = seen[k : k + 512]
-        p = network.probability(np.array([encode(text, *w) for _, w in part]))
-        for ((start, end), (a, b)), q in zip(part, p):
-            if q >= network.threshold:
+    odds: list[float] = []
+    for i in range(0, len(seen), 512):
+        part = seen[i : i + 512]
+        for (k, (a, b)), q in zip(part, network.probability(np.array([encode(text, *w) for _, w in part])).tolist()):
+            if k < len(base):
+                sure[k] = max(sure[k], q)
+            elif q >= network.threshold:
+                start, end = pieces[k - len(base)]
                 while a > start and text[a - 1].isalnum() and text[a].isalnum():
                     a -= 1
                 while b < end and text[b].isalnum() and text[b - 1].isalnum():
                     b += 1
                 if more and a < more[-1][1]:
                     more[-1] = (min(a, more[-1][0]), max(b, more[-1][1]), "cnn")
+                    odds[-1] = max(odds[-1], q)
                 else:
                     more.append((a, b, "cnn"))
+                    odds.append(q)
     rank = {"assign": 0, "access": 1, "hex": 2, "cnn": 3}
-    return base, sorted(base + more, key=lambda s: (s[0], rank[s[2]]))
+    every = sorted(zip(base + more, sure + odds), key=lambda s: (s[0][0], rank[s[0][2]]))
+    return base, [s for s, _ in every], [q for _, q in every], len(base) + len(pieces)
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -304,11 +332,14 @@ FIELDS = [
     StructField("n_hex", LongType()),
     StructField("base_sha256", StringType()),
     StructField("spans", StringType()),
+    StructField("probabilities", StringType()),
+    StructField("n_scored", LongType()),
 ]
 
 
 def scan(docs: DataFrame, text_col: str = "text", network: Network | None = None) -> DataFrame:
-    """docs with counts and digest of the base spans, and all spans as kind:start:end (code points)."""
+    """docs with counts and digest of the base spans, all spans as kind:start:end (code points), the network's
+    probability of each span, and the number of candidates it scored."""
     shared = docs.sparkSession.sparkContext.broadcast(network or trained_network())
     at = docs.columns.index(text_col)
 
@@ -318,10 +349,11 @@ def scan(docs: DataFrame, text_col: str = "text", network: Network | None = None
         def work(batch):
             rows = []
             for text in as_text(batch.column(at)):
-                base, spans = scan_text(text, net)
+                base, spans, odds, n = scan_text(text, net)
                 kinds = [k for _, _, k in base]
-                rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans)))
-            types = [pa.int64()] * 3 + [pa.string()] * 2
+                digest = hashlib.sha256(joined(base).encode()).hexdigest()
+                rows.append((kinds.count("assign"), kinds.count("access"), kinds.count("hex"), digest, joined(spans), ",".join(f"{q:.3f}" for q in odds), n))
+            types = [pa.int64()] * 3 + [pa.string()] * 3 + [pa.int64()]
             return [pa.array([r[k] for r in rows], t) for k, t in enumerate(types)]
 
         return work
@@ -329,30 +361,38 @@ def scan(docs: DataFrame, text_col: str = "text", network: Network | None = None
     return append_columns(docs, FIELDS, make)
 
 
+def redacted(text: str, spans: list[tuple[int, int, str]], mark: str) -> str:
+    """text with every span (sorted, they may overlap) replaced by a mark."""
+    parts, last = [], 0
+    for a, b, _ in spans:
+        if a >= last:
+            parts += [text[last:a], mark]
+        last = max(last, b)
+    return "".join([*parts, text[last:]])
+
+
 def redact(docs: DataFrame, mark: str = "[SECRET]", network: Network | None = None) -> DataFrame:
     """docs (columns as given) with every span replaced by a mark; n_chars, where present, follows. No document goes."""
-    columns = docs.columns
-    found = scan(docs, network=network)
-    t, s = found.columns.index("text"), found.columns.index("spans")
+    shared = docs.sparkSession.sparkContext.broadcast(network or trained_network())
+    clean, hit = private(docs, "clean", "hit")
+    at = docs.columns.index("text")
 
     def make():
+        net = shared.value
+
         def work(batch):
-            out = []
-            for text, spans in zip(batch.column(t).to_pylist(), batch.column(s).to_pylist()):
-                if spans:
-                    parts, last = [], 0
-                    for span in spans.split(","):
-                        _, a, b = span.split(":")
-                        if int(a) >= last:
-                            parts += [text[last : int(a)], mark]
-                        last = max(last, int(b))
-                    text = "".join([*parts, text[last:]])
-                out.append(text)
-            return [pa.array(out, pa.string())]
+            texts, hits = [], []
+            for text in batch.column(at).to_pylist():
+                spans = scan_text(text or "", net)[1]
+                texts.append(redacted(text, spans, mark) if spans else text)
+                hits.append(len(spans))
+            return [pa.array(texts, pa.string()), pa.array(hits, pa.int32())]
 
         return work
 
-    clean = append_columns(found, [StructField("text", StringType())], make)
-    if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.col("spans") != "", F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.select(*columns)
+    found = append_columns(docs, [StructField(clean, StringType()), StructField(hit, IntegerType())], make)
+    new = {c: F.col(f"`{c}`") for c in docs.columns}
+    new["text"] = F.col(clean)
+    if "n_chars" in new:
+        new["n_chars"] = F.when(F.col(hit) > 0, F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
+    return found.select(*[v.alias(c) for c, v in new.items()])
