@@ -4,16 +4,20 @@ Words are runs of ASCII letters, digits and non-ASCII characters after lower-cas
 of a benchmark item are a window; an item of fewer words is one window of its own length; an item without words has
 none. A document word inside any occurrence of a window is hit.
 
-The windows of the benchmark go to the executors as a hash set, if the benchmark is within `broadcast_words`;
-a larger benchmark is matched by a shuffled join on window hashes. Either way a hash hit is verified word by word.
+The windows of the benchmark go to the executors as a hash set, if the benchmark's text is within `broadcast_bytes`;
+a larger benchmark is matched by a shuffled join on windows. The hash of a window is a polynomial over its bytes (words
+joined by spaces), so those of all windows of a text come from one running sum; a hit is verified byte by byte.
 
 Defined cases: null and empty texts have no words and no hits; repeated item rows count as one item per item_id;
-a null item_id is left out of the list of items but its windows count as hits; extra columns are ignored.
+a null item_id is left out of the list of items but its windows count as hits; extra columns are passed through by
+`find_hits` (those with a result's name are replaced), and kept as they are, whatever their names, by `remove_hits`.
 """
 
 from __future__ import annotations
 
 import hashlib
+import re
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -21,17 +25,21 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType, StringType, StructField
 
-from lattica.llm.common import append_columns, as_bytes, materialize, ship_package
+from lattica.llm.common import append_columns, as_bytes, materialize, private, ship_package
 
 WINDOW = 10
-#: Benchmarks of up to so many words are broadcast (about 150 bytes a word in the Python workers).
-BROADCAST_WORDS = 1_000_000
+#: Benchmarks of up to so many bytes of text are broadcast. The index takes the text and 28 bytes a word: at most 15 times
+#: the text, with one-letter words; some 5 times with ordinary ones (measured by WindowIndex.nbytes).
+BROADCAST_BYTES = 8_000_000
+#: Words of a long text that are hashed at a time.
+PART = 200_000
 
 _SEPARATORS = bytes(c for c in range(128) if not (0x30 <= c <= 0x39 or 0x41 <= c <= 0x5A or 0x61 <= c <= 0x7A))
 TO_WORDS = bytes(
     0x20 if bytes([c]) in [bytes([s]) for s in _SEPARATORS] else c + 32 if 0x41 <= c <= 0x5A else c for c in range(256)
 )
-_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+_WORD = re.compile(rb"[^ ]+")
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -39,65 +47,108 @@ def words_of(text: bytes) -> list[bytes]:
     return text.translate(TO_WORDS).split()
 
 
-def _hashes(ids: np.ndarray, n: int) -> np.ndarray:
-    """A 64-bit hash of every n consecutive ids."""
-    m = len(ids) - n + 1
-    h = np.zeros(m, np.uint64)
-    with np.errstate(over="ignore"):
-        for k in range(n):
-            h = (h ^ ids[k : k + m]) * _MIX
-            h ^= h >> np.uint64(29)
-    return h
+class Rolling:
+    """Hashes of parts of a byte string: sums of byte x base^place modulo 2^64, moved to place 0, and mixed."""
+
+    def __init__(self, seed: int = 0):
+        self.base = (0x9E3779B97F4A7C15 + 2 * seed) & (1 << 64) - 1  # odd, so it has an inverse
+        self.inverse = pow(self.base, -1, 1 << 64)
+        self.up = self.down = np.ones(1, np.uint64)
+
+    def _powers(self, n: int) -> None:
+        if len(self.up) < n:
+            n = max(n, 2 * len(self.up))
+            run = lambda b: np.concatenate([[np.uint64(1)], np.cumprod(np.full(n - 1, b, np.uint64))])
+            with np.errstate(over="ignore"):
+                self.up, self.down = run(self.base), run(self.inverse)
+
+    def hashes(self, raw: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Of raw[start:end] for each pair."""
+        self._powers(len(raw) + 1)
+        with np.errstate(over="ignore"):
+            total = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw + np.uint64(1)) * self.up[: len(raw)])])
+            h = (total[end] - total[start]) * self.down[start]
+            h ^= h >> np.uint64(31)
+            h *= np.uint64(0xD6E8FEB86659FD93)
+            return h ^ (h >> np.uint64(32))
+
+
+def _bounds(joined: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bytes of space-joined words, and where each word starts and ends."""
+    raw = np.frombuffer(joined, np.uint8)
+    gaps = np.flatnonzero(raw == 32)
+    return raw, np.concatenate([[0], gaps + 1]), np.concatenate([gaps, [len(raw)]])
 
 
 class WindowIndex:
-    """Hash set of benchmark windows by length; built on the driver, read by the workers."""
+    """Hash set of benchmark windows by length, in flat arrays; built on the driver, read by the workers."""
 
     def __init__(self, items: list[tuple[str | None, bytes]], n: int = WINDOW):
         self.n = n
-        self.vocab: dict[bytes, int] = {}
-        windows: dict[int, dict[tuple[int, ...], set[str | None]]] = {}
-        for item, text in items:
-            ids = [self.vocab.setdefault(w, len(self.vocab) + 1) for w in words_of(text)]
-            if not ids:
-                continue
-            size = min(n, len(ids))
-            at = windows.setdefault(size, {})
-            for i in range(len(ids) - size + 1):
-                at.setdefault(tuple(ids[i : i + size]), set()).add(item)
-        self.exact = windows
-        self.sorted = {
-            size: np.unique(np.concatenate([_hashes(np.array(w, np.uint64), size) for w in at]))
-            for size, at in windows.items()
-        }
-
-    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str | None]]:
+        cut = [(item, words) for item, words in ((i, words_of(t)) for i, t in items) if words]
+        self.names = sorted({i for i, _ in cut if i is not None})
+        number = {i: k for k, i in enumerate(self.names)} | {None: -1}
+        self.blob = b"".join(b" ".join(words) + b" " for _, words in cut)
+        sizes = np.array([len(words) for _, words in cut], np.int64)
+        owner = np.array([number[i] for i, _ in cut], np.int32)
+        seed = 0
+        while not self._build(sizes, owner, seed):  # two windows of equal hash: another base
+            seed += 1
+
+    def _build(self, sizes: np.ndarray, owner: np.ndarray, seed: int) -> bool:
+        self.rolling, self.tables = Rolling(seed), {}
+        if not len(sizes):
+            return True
+        raw, start, end = _bounds(self.blob[:-1])
+        first = np.concatenate([[0], np.cumsum(sizes)[:-1]])
+        for size in np.unique(np.minimum(sizes, self.n)).tolist():
+            of = np.flatnonzero(np.minimum(sizes, self.n) == size)
+            count = sizes[of] - size + 1
+            word = np.repeat(first[of] - np.cumsum(count) + count, count) + np.arange(count.sum())
+            item = np.repeat(owner[of], count)
+            parts = [self.rolling.hashes(raw[start[w[0]] : end[w[-1] + size - 1]], start[w] - start[w[0]], end[w + size - 1] - start[w[0]]) for w in np.array_split(word, -(-len(word) // PART))]
+            h = np.concatenate(parts)
+            by = np.lexsort((item, h))
+            h, word, item = h[by], word[by], item[by]
+            new = np.concatenate([[True], h[1:] != h[:-1]])
+            group = np.cumsum(new) - 1
+            at = start[word]
+            for k in np.flatnonzero(~new).tolist():
+                a, b = int(at[k]), int(at[k - 1])
+                length = int(end[word[k] + size - 1]) - a + 1
+                if self.blob[a : a + length] != self.blob[b : b + length]:
+                    return False
+            pair = new.copy()
+            pair[1:] |= item[1:] != item[:-1]
+            self.tables[size] = h[new], at[new], np.searchsorted(group[pair], np.arange(int(new.sum()) + 1)), item[pair]
+        self.rolling.up = self.rolling.down = np.ones(1, np.uint64)  # grown again where it is used
+        return True
+
+    @property
+    def nbytes(self) -> int:
+        return len(self.blob) + sum(a.nbytes for t in self.tables.values() for a in t)
+
+    def hits(self, words: list[bytes]) -> tuple[np.ndarray, set[str]]:
         """Which words are hit, and the items with occurring windows."""
-        look = self.vocab.get
-        ids = np.fromiter((look(w, 0) for w in words), np.uint64, len(words))
         hit = np.zeros(len(words), bool)
-        items: set[str | None] = set()
-        known = ids > 0
-        for size, hashes in self.sorted.items():
-            m = len(ids) - size + 1
-            if m < 1:
-                continue
-            run = np.cumsum(np.concatenate([[0], known]))
-            starts = np.flatnonzero(run[size:] - run[:m] == size)
-            if not len(starts):
-                continue
-            h = np.zeros(len(starts), np.uint64)
-            with np.errstate(over="ignore"):
-                for k in range(size):
-                    h = (h ^ ids[starts + k]) * _MIX
-                    h ^= h >> np.uint64(29)
-            at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
-            for s in starts[hashes[at] == h].tolist():
-                found = self.exact[size].get(tuple(ids[s : s + size].tolist()))
-                if found:
-                    hit[s : s + size] = True
-                    items |= found
-        return hit, items
+        found: set[int] = set()
+        for begin in range(0, len(words), PART):
+            some = words[begin : begin + PART + self.n - 1]
+            joined = b" ".join(some)
+            raw, start, end = _bounds(joined)
+            for size, (known, at, owners, item) in self.tables.items():
+                m = min(len(some) - size + 1, PART)
+                if m < 1:
+                    continue
+                h = self.rolling.hashes(raw, start[:m], end[size - 1 : size - 1 + m])
+                place = np.minimum(np.searchsorted(known, h), len(known) - 1)
+                met = np.flatnonzero(known[place] == h)
+                for i, g in zip(met.tolist(), place[met].tolist()):
+                    text = joined[start[i] : end[i + size - 1]] + b" "
+                    if self.blob[at[g] : at[g] + len(text)] == text:
+                        hit[begin + i : begin + i + size] = True
+                        found.update(item[owners[g] : owners[g + 1]].tolist())
+        return hit, {self.names[k] for k in found if k >= 0}
 
 
 FIELDS = [
@@ -115,7 +166,7 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
 
 
 def _broadcast_hits(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFrame:
-    rows = items.collect()  # within BROADCAST_WORDS, as find_hits has counted
+    rows = items.collect()  # within broadcast_bytes, as find_hits has counted
     index = docs.sparkSession.sparkContext.broadcast(
         WindowIndex([(None if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in rows], n)
     )
@@ -130,7 +181,7 @@ def _broadcast_hits(docs: DataFrame, items: DataFrame, n: int, text_col: str) ->
                 words = words_of(text)
                 hit, found = windows.hits(words)
                 a, b = _runs(hit)
-                for o, v in zip(out, (len(words), a, b, sorted(x for x in found if x is not None))):
+                for o, v in zip(out, (len(words), a, b, sorted(found))):
                     o.append(v)
             kinds = pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.string())
             return [pa.array(o, k) for o, k in zip(out, kinds)]
@@ -153,96 +204,95 @@ def _joined_hits(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> Da
         .groupBy("size", "window").agg(F.collect_set("item").alias("found"))
     )
     sizes = [r[0] for r in windows.select("size").distinct().collect()]  # at most n values
-    row = F.monotonically_increasing_id()
-    numbered = materialize(docs.withColumn("_row", row), "decontam-docs")
-    base = numbered.select("_row", words(F.col(text_col)).alias("w"))
-    parts = [
-        base.filter(F.size("w") >= s)
-        .select("_row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - s)).alias("i"))
-        .select("_row", "i", F.lit(s).alias("size"), F.array_join(F.slice("w", F.col("i") + 1, s), " ").alias("window"))
-        for s in sizes
-    ]
-    counts = base.select("_row", F.size("w").cast("long").alias("n_words"))
-    if not parts:
-        empty = F.array().cast("array<bigint>")
-        return numbered.join(counts, "_row").drop("_row").withColumns(
-            {"hit_from": empty, "hit_to": empty, "items": F.array().cast("array<string>")}
-        )
-    probe = parts[0]
-    for p in parts[1:]:
-        probe = probe.unionAll(p)
-    met = probe.join(windows, ["size", "window"]).select("_row", "i", "size", "found")
-    merged = met.groupBy("_row").agg(
-        F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("a"), (F.col("i") + F.col("size")).cast("long").alias("b")))).alias("spans"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("items"),
-    )
-    grow = F.aggregate(
-        "spans",
-        F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
-        lambda acc, x: F.when(
-            (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
-            F.concat(
-                F.slice(acc, 1, F.size(acc) - 1),
-                F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))),
-            ),
-        ).otherwise(F.concat(acc, F.array(x))),
-    )
-    merged = merged.withColumn("runs", F.when(F.col("spans").isNotNull(), grow))
-    out = numbered.join(counts, "_row").join(merged.select("_row", "runs", F.col("items").alias("_items")), "_row", "left")
+    row, = private(docs, "row")
+    numbered = materialize(docs.withColumn(row, F.monotonically_increasing_id()), "decontam-docs")
+    base = numbered.select(F.col(row).alias("row"), words(F.col(text_col)).alias("w"))
     none = F.array().cast("array<bigint>")
-    return out.withColumns(
-        {
-            "hit_from": F.coalesce(F.col("runs")["a"], none),
-            "hit_to": F.coalesce(F.col("runs")["b"], none),
-            "items": F.coalesce(F.col("_items"), F.array().cast("array<string>")),
-        }
-    ).drop("_row", "runs", "_items")
-
-
-def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
+    counts = base.select("row", F.size("w").cast("long").alias("n_words"))
+    if sizes:
+        probe = reduce(
+            DataFrame.unionAll,
+            [
+                base.filter(F.size("w") >= s)
+                .select("row", "w", F.explode(F.sequence(F.lit(0), F.size("w") - s)).alias("i"))
+                .select("row", "i", F.lit(s).alias("size"), F.array_join(F.slice("w", F.col("i") + 1, s), " ").alias("window"))
+                for s in sizes
+            ],
+        )
+        met = probe.join(windows, ["size", "window"]).select("row", "i", "size", "found")
+        merged = met.groupBy("row").agg(
+            F.array_sort(F.collect_list(F.struct(F.col("i").cast("long").alias("a"), (F.col("i") + F.col("size")).cast("long").alias("b")))).alias("spans"),
+            F.array_sort(F.array_distinct(F.flatten(F.collect_list("found")))).alias("items"),
+        )
+        grow = F.aggregate(
+            "spans",
+            F.expr("cast(array() as array<struct<a:bigint,b:bigint>>)"),
+            lambda acc, x: F.when(
+                (F.size(acc) > 0) & (F.element_at(acc, -1)["b"] >= x["a"]),
+                F.concat(
+                    F.slice(acc, 1, F.size(acc) - 1),
+                    F.array(F.struct(F.element_at(acc, -1)["a"].alias("a"), F.greatest(F.element_at(acc, -1)["b"], x["b"]).alias("b"))),
+                ),
+            ).otherwise(F.concat(acc, F.array(x))),
+        )
+        merged = merged.select("row", grow.alias("runs"), "items")
+        counts = counts.join(merged, "row", "left").select(
+            "row", "n_words", F.coalesce(F.col("runs")["a"], none).alias("hit_from"), F.coalesce(F.col("runs")["b"], none).alias("hit_to"),
+            F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+        )
+    else:
+        counts = counts.select("row", "n_words", none.alias("hit_from"), none.alias("hit_to"), F.array().cast("array<string>").alias("items"))
+    results = {f.name for f in FIELDS}
+    kept = [c for c in docs.columns if c.lower() not in results]
+    out = numbered.select(F.col(row).alias("row"), F.struct(*[f"`{c}`" for c in kept]).alias("own")) if kept else numbered.select(F.col(row).alias("row"))
+    return out.join(counts, "row").select(*(["own.*"] if kept else []), *[f.name for f in FIELDS])
+
+
+def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col: str = "text", item_col: str = "item_id", broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs with n_words, the runs of hit words (hit_from, hit_to, ends exclusive) and the sorted items found."""
     ship_package(docs.sparkSession)
     items = benchmark.select(item_col, "text")
-    # every word takes at least two bytes with its separator
     total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total / 2 <= broadcast_words:
+    if total <= broadcast_bytes:
         return _broadcast_hits(docs, items, n, text_col)
     return _joined_hits(docs, items, n, text_col)
 
 
-def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5) -> DataFrame:
-    """docs (columns as given) with every hit run cut out of the text; documents with a hit share of at least
-    drop_share go. n_chars, where present, follows the new text. Documents without hits stay as they are."""
-    columns = docs.columns
-    found = find_hits(docs, benchmark, n)
-    found = found.filter((F.col("n_words") == 0) | (F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y) < drop_share * F.col("n_words")))
-    t, a, b = (found.columns.index(c) for c in ("text", "hit_from", "hit_to"))
+def cut_runs(text: str, starts: list[int], ends: list[int]) -> str:
+    """text without the words of the given runs (and what stands between a run's words)."""
+    raw = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in _WORD.finditer(raw.translate(TO_WORDS))]
+    keep, last = [], 0
+    for x, y in zip(starts, ends):
+        keep.append(raw[last : places[x][0]])
+        last = places[y - 1][1]
+    return b"".join([*keep, raw[last:]]).decode("utf-8", "surrogatepass")
 
-    def make():
-        import re
 
-        word = re.compile(rb"[^ ]+")
+def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """docs (columns as given, whatever their names) with every hit run cut out of the text; documents with a hit share of
+    at least drop_share go. n_chars, where present, follows the new text. Documents without hits stay as they are."""
+    own, text, clean = private(docs, "own", "text", "clean")
+    inner = docs.select(F.col("text").alias(text), F.struct(*[f"`{c}`" for c in docs.columns]).alias(own))
+    found = find_hits(inner, benchmark, n, text, broadcast_bytes=broadcast_bytes)
+    cut = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
+    found = found.filter((F.col("n_words") == 0) | (cut < drop_share * F.col("n_words"))).select(own, text, "hit_from", "hit_to")
 
+    def make():
         def work(batch):
-            out = []
-            for text, starts, ends in zip(batch.column(t).to_pylist(), batch.column(a).to_pylist(), batch.column(b).to_pylist()):
-                if starts:
-                    raw = text.encode()
-                    places = [m.span() for m in word.finditer(raw.translate(TO_WORDS))]
-                    keep, last = [], 0
-                    for x, y in zip(starts, ends):
-                        keep.append(raw[last : places[x][0]])
-                        last = places[y - 1][1]
-                    text = b"".join([*keep, raw[last:]]).decode()
-                out.append(text)
-            return [pa.array(out, pa.string())]
+            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
+            return [pa.array([cut_runs(t, a, b) if a else t for t, a, b in rows], pa.string())]
 
         return work
 
-    clean = append_columns(found, [StructField("text", StringType())], make)
-    if "n_chars" in columns:
-        clean = clean.withColumn("n_chars", F.when(F.size("hit_from") > 0, F.char_length("text").cast("long")).otherwise(F.col("n_chars")))
-    return clean.select(*columns)
+    after = append_columns(found, [StructField(clean, StringType())], make)
+    hit = F.size("hit_from") > 0
+    new = {c: F.col(f"{own}.`{c}`") for c in docs.columns}
+    new["text"] = F.col(clean)
+    if "n_chars" in new:
+        length = F.char_length(clean).cast(docs.schema["n_chars"].dataType)
+        new["n_chars"] = F.when(hit, length).otherwise(new["n_chars"])
+    return after.select(*[v.alias(c) for c, v in new.items()])
 
 
 def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
@@ -261,8 +311,6 @@ def digest(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 def brute(docs: list[tuple[int, str | None]], items: list[tuple[int, str | None]], n: int = WINDOW) -> list[tuple]:
     """Plain reference for tests."""
-    import re
-
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
     cut = lambda t: pattern.findall((t or "").translate(low))
