@@ -9,7 +9,12 @@ one or six. So the equal segment and a codeword index make a key: 8 keys to be f
 candidate is verified on all 64 bits. Within a key, links are followed from one fingerprint to those not yet reached, so
 only the edges of a spanning forest leave it, never all pairs of a group; components are then found with joins.
 
-Equal fingerprints are one node, so copies add no links. Defined cases: null and empty texts have the zero fingerprint,
+A key of more than HOT_KEY rows is split first: of the other 48 bits' six bytes, three at least are equal in a linked pair, so
+each of its rows goes under 20 finer keys, one for each three of the bytes. A finer key leaves 24 bits free, and among
+fingerprints that agree in all others at most 7,220 are pairwise unlinked: what one task closes stays bounded.
+
+Equal fingerprints are one node, so copies add no links; fingerprints that many documents share are looked up in a broadcast
+table of bounded size. Defined cases: null and empty texts have the zero fingerprint,
 which links like any other; fewer words than a shingle make one shingle of the whole sequence; repeated rows share their
 component; a group of rows without any id has no component_id, and deduplicate keeps rows without an id; an empty
 table gives an empty result.
@@ -25,13 +30,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-from lattica.llm.common import append_columns, as_bytes, materialize, ship_package
+from lattica.llm.common import append_columns, as_bytes, hot_lookup, materialize, private, ship_package
 from lattica.llm.components import components
 
 SHINGLE = 3
 BITS = 3
 _LOWER = bytes(c + 32 if 0x41 <= c <= 0x5A else c for c in range(256))
 _BLOCK = 200_000
+#: Rows of a key beyond which it is split.
+HOT_KEY = 20_000
 
 
 def fingerprint(text: bytes, shingle: int = SHINGLE) -> bytes:
@@ -129,6 +136,27 @@ def _with_keys(batches):
             yield pa.RecordBatch.from_arrays([pa.array(key), pa.array(part[np.concatenate([fr, lr])])], names=["key", "fp"])
 
 
+_TRIPLES = [(i, j, k) for i in range(6) for j in range(i + 1, 6) for k in range(j + 1, 6)]
+
+
+def finer_keys(key: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Row numbers and finer keys of (key, fingerprint as uint64) rows; the last bit still tells what the row is for."""
+    segment = (key >> 30 & 3).astype(np.uint64) * np.uint64(16)  # where the segment that is equal begins
+    low = fp & ((np.uint64(1) << segment) - np.uint64(1))
+    # 48 bits: shifting in two steps, as one of 64 bits isn't defined
+    rest = (fp >> segment >> np.uint64(16)) << segment | low
+    part = [(rest >> np.uint64(8 * i) & np.uint64(0xFF)).astype(np.int64) for i in range(6)]
+    out = [1 << 62 | n << 56 | (key >> 1) << 25 | part[i] << 17 | part[j] << 9 | part[k] << 1 | key & 1 for n, (i, j, k) in enumerate(_TRIPLES)]
+    return np.tile(np.arange(len(key)), len(out)), np.concatenate(out)
+
+
+def _with_finer_keys(batches):
+    for batch in batches:
+        key, fp = (batch.column(i).to_numpy(zero_copy_only=False) for i in (0, 1))
+        rows, finer = finer_keys(key, fp.view(np.uint64))
+        yield pa.RecordBatch.from_arrays([pa.array(finer), pa.array(fp[rows])], names=["key", "fp"])
+
+
 def spanning_links(fp: np.ndarray, bits: int = BITS) -> tuple[list[int], list[int]]:
     """Edges of a spanning forest of the links among distinct fingerprints (uint64)."""
     a, b = [], []
@@ -182,7 +210,7 @@ def _links(batches):
         yield close(*(np.concatenate([p[i] for p in parts]) for i in (0, 1)))
 
 
-def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
+def fingerprint_components(fps: DataFrame, bits: int = BITS, hot_key: int = HOT_KEY) -> DataFrame:
     """node, root: components of the linked fingerprints among distinct ones (column fp); unlinked ones don't appear."""
     if bits > 3:
         raise ValueError("the keys find pairs of at most 3 differing bits")
@@ -190,6 +218,12 @@ def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
     key = StructType([StructField("key", LongType()), StructField("fp", LongType())])
     pair = StructType([StructField("a", LongType()), StructField("b", LongType())])
     keyed = fps.select("fp").mapInArrow(_with_keys, key)
+    place = F.shiftright("key", 1)
+    hot = materialize(keyed.groupBy(place.alias("hot")).count().filter(F.col("count") > hot_key).select("hot"), "simhash-hot-keys")
+    if not hot.isEmpty():
+        # hot keys are as many as rows / hot_key at most: they grow with the input and aren't broadcast
+        split = keyed.join(hot.hint("shuffle_hash"), place == F.col("hot"), "left_semi").mapInArrow(_with_finer_keys, key)
+        keyed = keyed.join(hot.hint("shuffle_hash"), place == F.col("hot"), "left_anti").unionAll(split)
     met = keyed.repartition(F.shiftright("key", 1)).sortWithinPartitions("key")
     return components(met.mapInArrow(_links, pair).distinct())
 
@@ -197,28 +231,33 @@ def fingerprint_components(fps: DataFrame, bits: int = BITS) -> DataFrame:
 def group(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """id, fingerprint (16 hexadecimal digits) and component_id, the smallest id reachable over links."""
     marked = materialize(with_fingerprints(docs.select(id_col, text_col), text_col, shingle).drop(text_col), "simhash")
-    fps = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first")), "simhash-fingerprints")
+    fps = materialize(marked.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("copies")), "simhash-fingerprints")
     roots = fingerprint_components(fps)
     placed = fps.join(roots, fps["fp"] == roots["node"], "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     smallest = placed.groupBy("root").agg(F.min("first").alias("component_id"))
     of = placed.join(smallest, "root").select("fp", "component_id")
-    out = marked.join(of, "fp")
+    hot = fps.filter(F.col("copies") > F.greatest(F.lit(1000), F.lit(marked.count() / 1000))).select("fp")  # under 1,000 rows
+    out = hot_lookup(marked, of, "fp", hot)
     return out.select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
-    """docs (columns as given) with the document of smallest id of each group; of repeated rows with that id, one."""
+    """docs (columns as given) with the document of smallest id of each group; of rows that share that id, the one whose
+    columns (maps aside) sort first."""
     found = group(docs, id_col, text_col, shingle)
-    keep = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias("_keep")).count()
+    name, = private(docs, "keep")
+    keep = found.filter(F.col(id_col) == F.col("component_id")).groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias("rows"))
     keep = materialize(keep, "simhash-kept")
-    named = docs[id_col] == F.col("_keep")
+    named = docs[id_col] == F.col(name)
     # texts are dealt by id at every size: the kept ids grow with the input, so they are never broadcast
-    out = docs.join(keep.select("_keep").hint("merge"), named, "left_semi")
-    repeated = keep.filter("count > 1").select("_keep")
+    out = docs.join(keep.select(name).hint("merge"), named, "left_semi")
+    repeated = keep.filter("rows > 1").select(name)
     if not repeated.isEmpty():
-        again = out.join(repeated, named, "left_semi").dropDuplicates([id_col])
+        ordered = [f"`{f.name}`" for f in docs.schema.fields if "map<" not in f.dataType.simpleString()]
+        again = out.join(repeated, named, "left_semi").select(F.struct(*[f"`{c}`" for c in docs.columns]).alias("row"), F.struct(*ordered).alias("by"), F.col(id_col).alias("id"))
+        again = again.groupBy("id").agg(F.min_by("row", "by").alias("row")).select("row.*")
         out = out.join(repeated, named, "left_anti").unionByName(again)
-    return out.unionByName(docs.filter(F.col(id_col).isNull())).select(*docs.columns)
+    return out.unionByName(docs.filter(F.col(id_col).isNull())).select(*[f"`{c}`" for c in docs.columns])
 
 
 def brute(docs: list[tuple[int, str | None]]) -> list[tuple[int, str, int]]:
