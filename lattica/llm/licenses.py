@@ -5,7 +5,8 @@ min to max arbitrary words. It is compiled to a nondeterministic automaton over
 mandatory wording occurs exactly and in order. Beside the templates, four base phrases are counted.
 
 Defined cases: null and empty texts have no words, no labels and score 0; repeated rows are scored each for itself;
-texts of any length are scanned whole; extra columns are passed through by `scan` (those with a result's name are replaced).
+texts of any length are scanned whole, in time linear in their words for a given library; extra columns are passed through
+by `scan` (those with a result's name are replaced). A template whose regions can all be empty matches nothing.
 """
 
 from __future__ import annotations
@@ -152,25 +153,29 @@ class Scanner:
         self.automata = [(label, Automaton(t)) for label, ts in templates.items() for t in ts]
         self.starts: dict[bytes, list[tuple[str, Automaton]]] = {}
         for label, a in self.automata:
-            for w in a.first:
-                if w is not None:
-                    self.starts.setdefault(w, []).append((label, a))
+            for w in a.first:  # None: the template can start with any word
+                self.starts.setdefault(w, []).append((label, a))
         self.base = re.compile(rb"(?<![^ ])(?:" + b"|".join(map(re.escape, PHRASES)) + rb")(?![^ ])")
 
     def scan(self, text: bytes) -> tuple:
         words = text.translate(TO_WORDS).split()
         joined = b" ".join(words)
-        places = [(joined.count(b" ", 0, m.start()), PHRASES[m.group()]) for m in self.base.finditer(joined)]
+        places, at, word = [], 0, 0
+        for m in self.base.finditer(joined):
+            word += joined.count(b" ", at, m.start())
+            at = m.start()
+            places.append((word, PHRASES[m.group()]))
         base = sorted({label for _, label in places})
         best: dict[str, tuple[int, int, int]] = {}
         # a template can match only where all its mandatory words are in the text
         have, starts = set(words), {}
-        for w in self.starts.keys() & have:
+        for w in self.starts.keys() & (have | {None}):
             if possible := [(label, a) for label, a in self.starts[w] if a.needs <= have]:
                 starts[w] = possible
-        for i, w in enumerate(words) if starts else ():
-            if w in starts:
-                for label, a in starts[w]:
+        anywhere = starts.pop(None, [])
+        for i, w in enumerate(words) if starts or anywhere else ():
+            if anywhere or w in starts:
+                for label, a in [*starts.get(w, ()), *anywhere]:
                     end = a.match(words, i)
                     if end > i and a.mandatory > best.get(label, (0, 0, 0))[2]:
                         best[label] = i, end, a.mandatory
