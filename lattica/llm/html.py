@@ -43,6 +43,8 @@ _CLOSES = {
     "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}), "option": ({"option"}, {"select"}), "body": ({"head"}, {"html"}),
 }
 _SCOPE = frozenset("table td th caption button html body".split())
+#: End tags that close their element across those.
+_REACHES = frozenset("table tr tbody body html form div article section main".split())
 
 _GROUPS = [
     ("nav", "menu"), ("header",), ("footer",), ("aside",), ("form", "input", "button", "select", "option", "label", "fieldset", "textarea"),
@@ -99,6 +101,25 @@ class Page:
     def _build(self, source: str) -> None:
         tag, pieces, stack, last, skip_to = self.tag, self.pieces, [0], 0, 0
         unclosed: set[str] = set()  # raw elements without another end tag
+        # by tag, where its open elements stand in the stack; and where the open elements stand that aren't inline, and
+        # those that end tags of inside elements don't reach beyond
+        places: dict[str, list[int]] = {}
+        solid: list[int] = [0]
+        scopes: list[int] = [0]
+
+        def cut(k: int) -> None:
+            """Close the open elements from place k up."""
+            for i in range(len(stack) - 1, k - 1, -1):
+                places[tag[stack[i]]].pop()
+            del stack[k:]
+            for kept in (solid, scopes):
+                while kept[-1] >= k:
+                    kept.pop()
+
+        def last_open(names) -> int:
+            """The place of the innermost open element of these tags, or 0."""
+            return max((p[-1] for n in names if (p := places.get(n))), default=0)
+
         pos = 0
         while True:
             m = _TAG.search(source, pos)
@@ -114,33 +135,22 @@ class Page:
                 continue
             name = name.lower()
             if m.group(1):  # end tag
-                for k in range(len(stack) - 1, 0, -1):
-                    if tag[stack[k]] == name:
-                        del stack[k:]
-                        break
-                    if tag[stack[k]] in _SCOPE and name not in ("table", "tr", "tbody", "body", "html", "form", "div", "article", "section", "main"):
-                        break
+                k = last_open((name,))
+                if k and (k >= scopes[-1] or name in _REACHES):
+                    cut(k)
                 if name not in _INLINE:
                     pieces.append((-1, ""))
                 continue
             if name in _ENDS_P:
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tag[stack[k]]
-                    if t == "p":
-                        del stack[k:]
-                        break
-                    if t not in _INLINE:
-                        break
+                if solid[-1] and tag[stack[solid[-1]]] == "p":
+                    cut(solid[-1])
             if name in _CLOSES:
                 closes, within = _CLOSES[name]
-                for k in range(len(stack) - 1, 0, -1):
-                    t = tag[stack[k]]
-                    if t in within:
+                border = last_open(within)
+                while (k := last_open(closes)) > border:
+                    cut(k)
+                    if name != "tr":
                         break
-                    if t in closes:
-                        del stack[k:]
-                        if name != "tr":
-                            break
             if name not in _INLINE:
                 pieces.append((-1, ""))
             node = self._open(name, m.start(), m.group(3), stack)
@@ -160,6 +170,11 @@ class Page:
                 after = source.find(">", close.end()) if close else -1
                 pos = last = len(source) if after < 0 else after + 1
             elif name not in _VOID and not (m.group(3) or "").endswith("/"):
+                if name not in _INLINE:
+                    solid.append(len(stack))
+                if name in _SCOPE:
+                    scopes.append(len(stack))
+                places.setdefault(name, []).append(len(stack))
                 stack.append(node)
 
     def text(self, kept: np.ndarray) -> str:
