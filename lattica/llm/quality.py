@@ -4,7 +4,8 @@ Statistics are computed from the whole text; the trees are learned on the driver
 documents (labelled.MAX_LABELLED) and applied in Arrow batches, all rows of a batch at once.
 
 Defined cases: null and empty texts have all statistics zero and get the score that the trees give such texts; without
-labels every score is 0.5; repeated rows get equal scores; a null doc_id isn't held out.
+labels every score is 0.5; repeated rows get equal scores; a null doc_id isn't held out; empty tables give
+no rows; `score` replaces columns with a result's name, `accept` keeps all columns as they are.
 """
 
 from __future__ import annotations
@@ -18,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StructField
 
 from lattica.llm import gbdt
-from lattica.llm.common import append_columns, as_bytes
+from lattica.llm.common import append_columns, as_bytes, private
 from lattica.llm.labelled import MAX_LABELLED, held_out, sample
 
 _UPPER = np.arange(ord("A"), ord("Z") + 1)
@@ -77,11 +78,8 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", limit: int
     return gbdt.fit(x[order], y[order])
 
 
-FIELDS = [StructField("score", DoubleType()), StructField("predicted", IntegerType())]
-
-
-def score(docs: DataFrame, forest: gbdt.Forest, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """docs with score (0 to 1) and predicted (1 from the threshold up)."""
+def score(docs: DataFrame, forest: gbdt.Forest, text_col: str = "text", threshold: float = 0.5, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """docs with score (0 to 1) and predicted (1 from the threshold up), under the names given."""
     shared = docs.sparkSession.sparkContext.broadcast(forest)
     at = docs.columns.index(text_col)
 
@@ -94,7 +92,13 @@ def score(docs: DataFrame, forest: gbdt.Forest, text_col: str = "text", threshol
 
         return work
 
-    return append_columns(docs, FIELDS, make)
+    return append_columns(docs, [StructField(names[0], DoubleType()), StructField(names[1], IntegerType())], make)
+
+
+def accept(docs: DataFrame, forest: gbdt.Forest, threshold: float = 0.5) -> DataFrame:
+    """The documents that the classifier accepts, with their columns as given, whatever the names of these."""
+    p, yes = private(docs, "score", "predicted")
+    return score(docs, forest, threshold=threshold, names=(p, yes)).filter(F.col(yes) == 1).drop(p, yes)
 
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
