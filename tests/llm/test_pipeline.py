@@ -7,6 +7,7 @@ import re
 from array import array
 
 import numpy as np
+from pyspark.sql import functions as F
 
 import corpus_pipeline as C
 from lattica.llm import decontam, quality, secrets, simhash
@@ -72,3 +73,15 @@ def test_stages_take_odd_documents(spark):
         for name, stage in C.STAGES:
             out = stage(spark, frame, SF)
             assert (out.columns == COLUMNS) == (name != "tokens") and out.count() <= frame.count()
+
+
+def test_stages_keep_clashing_columns(spark):
+    own = ["score", "predicted", "fp", "_keep", "component_id", "n_words", "items", "hit_from", "hit_to", "spans", "n_assign", "_score", "_clean", "_own", "_row", "_id"]
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(60)
+    for c in own:
+        docs = docs.withColumn(c, F.lit("mine"))
+    for name, stage in C.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns, name
+        assert out.count() == out.filter(" AND ".join(f"{c} = 'mine'" for c in own)).count() > 0, name
+    assert C.STAGES[-1][1](spark, docs, SF).count() == 60

@@ -10,6 +10,8 @@ from array import array
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from lattica.llm import bpe, decontam, licenses, simhash
 from lattica.llm.components import components
 from lattica.llm.queries import tokenizer_path
@@ -74,6 +76,31 @@ def test_automaton_regions():
         licenses.Automaton("a [b")
 
 
+def test_templates_that_start_with_any_words():
+    s = licenses.Scanner({"grant": ["{who:1-3} grants you a license"], "asis": ["this software is provided as is {how:0-2} without warranty"]})
+    assert s.scan(b"Big Corp grants you a license")[5] == "grant" and s.scan(b"grants you a license")[5] == ""
+    assert s.scan(b"This software is provided AS IS, without warranty")[5] == "asis"
+    assert licenses.Scanner({"none": ["[maybe] {x:0-2}"]}).scan(b"maybe so")[5] == ""
+
+
+def test_license_scan_takes_linear_time():
+    import time
+
+    start = time.time()
+    s = licenses.Scanner()
+    out = s.scan(b"mit license " * 320_000)
+    assert out[1] == 320_000 and out[2:4] == (0, 639_998) and time.time() - start < 10
+    s.scan(b"under the mit permission is hereby granted " * 40_000)
+    assert time.time() - start < 20
+
+
+def test_license_scan_of_clashing_and_empty_tables(spark):
+    df = spark.createDataFrame([(1, "MIT License", "mine", "x"), (1, "MIT License", "mine", "x"), (2, None, None, None)], "doc_id long, text string, labels string, extra string")
+    out = licenses.scan(df)
+    assert sorted(((r["doc_id"], r["labels"], r["extra"]) for r in out.collect()), key=repr) == [(1, "mit", "x"), (1, "mit", "x"), (2, "", None)]
+    assert licenses.scan(df.limit(0)).count() == 0
+
+
 # ---- decontamination
 
 
@@ -91,11 +118,11 @@ def _decontam_fixture():
     return items, texts + [(900, None), (901, ""), (902, "w1-w2_w3"), (5, "w1 w2 w3")]
 
 
-@pytest.mark.parametrize("bound", [decontam.BROADCAST_WORDS, 0])
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_BYTES, 0])
 def test_decontamination_matches_brute_force(spark, bound):
     items, texts = _decontam_fixture()
     bench = spark.createDataFrame(items, "item_id long, text string")
-    got = decontam.find_hits(docs(spark, texts), bench, broadcast_words=bound).collect()
+    got = decontam.find_hits(docs(spark, texts), bench, broadcast_bytes=bound).collect()
     out = []
     for r in got:
         hit = sum(b - a for a, b in zip(r["hit_from"], r["hit_to"]))
@@ -111,6 +138,43 @@ def test_decontamination_edges(spark):
     assert decontam.digest(docs(spark, []), bench).count() == 0
 
 
+def test_windows_of_long_texts_and_large_benchmarks(monkeypatch):
+    """Parts of long texts overlap, so windows across their borders are found; the index stays within its stated size."""
+    monkeypatch.setattr(decontam, "PART", 50)
+    r = random.Random(6)
+    items = [(i, " ".join(f"w{r.randint(0, 400)}" for _ in range(r.choice([4, 10, 60])))) for i in range(80)]
+    index = decontam.WindowIndex([(str(i), t.encode()) for i, t in items])
+    text = " ".join(" ".join(f"v{k}" for k in range(r.randint(0, 30))) + " " + r.choice(items)[1] for _ in range(40))
+    hit, found = index.hits(decontam.words_of(text.encode()))
+    ((_, n, cut, m, _, _),) = decontam.brute([(1, text)], items)
+    assert (len(hit), int(hit.sum()), len(found)) == (n, cut, m)
+    assert index.nbytes <= 15 * sum(len(t) + 1 for _, t in items)
+    same = decontam.WindowIndex([(str(i), b"a b c d e f g h i j k") for i in range(500)])
+    assert len(same.hits(b"x a b c d e f g h i j".split())[1]) == 500
+
+
+def test_equal_hashes_of_different_windows(monkeypatch):
+    """With a hash that can't tell windows apart, another base is tried; here the first is made to fail."""
+    made = decontam.Rolling.hashes
+    monkeypatch.setattr(decontam.Rolling, "hashes", lambda self, raw, a, b: made(self, raw, a, b) & np.uint64(3) if self.base == decontam.Rolling(0).base else made(self, raw, a, b))
+    index = decontam.WindowIndex([("1", b"one two three"), ("2", b"four five six"), ("3", b"seven eight nine"), ("4", b"ten ten ten"), ("5", b"six six six")])
+    assert index.rolling.base != decontam.Rolling(0).base and index.hits([b"four", b"five", b"six"])[1] == {"2"}
+
+
+@pytest.mark.parametrize("bound", [decontam.BROADCAST_BYTES, 0])
+def test_removal_keeps_columns(spark, bound):
+    passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
+    bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
+    df = spark.createDataFrame([(1, "a b c d e f g h i j k l m " + passage, "mine", 5, 9), (2, "clean", "mine", 5, 9), (2, "clean", "mine", 5, 9)], "doc_id long, text string, items string, N_Words int, hit_from int")
+    df = df.withColumn("row", F.lit("mine")).withColumn("_row", F.lit("mine")).withColumn("own", F.lit("mine")).withColumn("_text", F.lit("mine"))
+    out = decontam.remove_hits(df, bench, broadcast_bytes=bound)
+    assert out.columns == df.columns and out.count() == 3
+    for r in out.collect():
+        assert (r["items"], r["N_Words"], r["hit_from"], r["row"], r["_row"], r["own"], r["_text"]) == ("mine", 5, 9, "mine", "mine", "mine", "mine")
+        assert r["text"] == ("a b c d e f g h i j k l m " if r["doc_id"] == 1 else "clean")
+    assert decontam.remove_hits(df.limit(0), bench, broadcast_bytes=bound).count() == 0
+
+
 def test_removal_cuts_only_hits(spark):
     passage = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda"
     bench = spark.createDataFrame([(1, passage)], "item_id long, text string")
@@ -160,6 +224,39 @@ def test_simhash_matches_brute_force(spark):
     assert simhash.group(docs(spark, [])).count() == 0
 
 
+def test_linked_pairs_share_finer_keys():
+    r = random.Random(3)
+    for _ in range(300):
+        a = r.getrandbits(64)
+        b = a
+        for bit in r.sample(range(64), r.randint(0, 3)):
+            b ^= 1 << bit
+        fp = np.array([a, b], np.uint64)
+        fr, fk, lr, lk = simhash.keys_of(fp)
+        for key in set(fk[fr == 0]) & set(lk[lr == 1]):
+            _, x = simhash.finer_keys(np.array([key << 1]), fp[:1])
+            _, y = simhash.finer_keys(np.array([key << 1 | 1]), fp[1:])
+            assert set(x >> 1) & set(y >> 1) and (x > 0).all()
+
+
+def test_hot_keys_lose_no_link(spark):
+    """Fingerprints that differ in few places, so that most keys are hot."""
+    r = random.Random(4)
+    fps = list({0x0123456789ABCDEF ^ sum(1 << b for b in r.sample(range(0, 64, 3), r.randint(0, 9))) for _ in range(400)})
+    frame = spark.createDataFrame([(x if x < 1 << 63 else x - (1 << 64),) for x in fps], "fp long").repartition(4)
+    roots = lambda hot: {r["node"]: r["root"] for r in simhash.fingerprint_components(frame, hot_key=hot).collect()}
+    assert roots(5) == roots(10**9) != {}
+
+
+def test_hot_fingerprints_and_roots(spark):
+    """One text holds most rows; one component most fingerprints."""
+    rows = [(i, "the same text as all the others have") for i in range(3000)] + [(5000 + i, f"word{i} alone") for i in range(40)] + [(7000 + i, None) for i in range(50)]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.group(docs(spark, rows)).collect()}
+    assert all(got[i] == 0 for i in range(3000)) and all(got[7000 + i] == 7000 for i in range(50))
+    star = spark.range(1, 4000).selectExpr("0L AS a", "id AS b")
+    assert {r["root"] for r in components(star).collect()} == {0}
+
+
 def test_deduplicate_keeps_one_of_each_group(spark):
     text = " ".join(f"t{i}" for i in range(50))
     other = " ".join(f"u{i}" for i in range(50))
@@ -167,6 +264,8 @@ def test_deduplicate_keeps_one_of_each_group(spark):
     out = simhash.deduplicate(spark.createDataFrame(rows, "doc_id long, text string, fp string"))
     assert out.columns == ["doc_id", "text", "fp"]
     assert keyed(out.select("doc_id", "fp")) == [(1, "b"), (2, "c"), (7, "d"), (None, "f")]
+    unlike = spark.createDataFrame([(1, text, "z"), (1, text, "b"), (1, text, None)], "doc_id long, text string, source string")
+    assert {simhash.deduplicate(unlike.repartition(n)).first()["source"] for n in (1, 2, 3)} == {None}
 
 
 def test_components(spark):
@@ -212,3 +311,4 @@ def test_bpe_ids_column_and_clash(spark, library):
     df = spark.createDataFrame([(1, "hello world", "old")], "doc_id long, text string, n_tokens string")
     r = bpe.encode(df, tokenizer_path(), with_ids=True).first()
     assert r["token_ids"] == library.encode("hello world").ids and r["n_tokens"] == 2
+    assert bpe.encode(df.limit(0), tokenizer_path(), with_ids=True).count() == 0
