@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from lattica.llm.bpe import encode
 from lattica.llm.common import materialize
 from lattica.llm.decontam import remove_hits
-from lattica.llm.quality import fit, score
+from lattica.llm.quality import accept, fit
 from lattica.llm.queries import tokenizer_path
 from lattica.llm.secrets import redact
 from lattica.llm.simhash import deduplicate
@@ -19,9 +19,7 @@ from lattica.llm.simhash import deduplicate
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier accepts; it learns from the labelled ones among docs."""
-    columns = docs.columns
-    forest = fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, forest).filter("predicted = 1").select(*columns)
+    return accept(docs, fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
