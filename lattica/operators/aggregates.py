@@ -149,3 +149,22 @@ def expressing_fractions(d: Dataset, by: str) -> DataFrame:
 def median_library(d: Dataset) -> DataFrame:
     """The exact median of the positive cell totals."""
     return d.matrix().groupBy("cell_ix").agg(F.sum("value").alias("t")).filter("t > 0").agg(F.median("t").alias("target_sum"))
+
+
+def stable_moments(d: Dataset, axis: str = "gene", tolerance: float = 1e-6) -> DataFrame:
+    """mean and population variance by a second pass over the differences from the mean, the closed form E[x^2] - E[x]^2,
+    and whether the closed form has lost its digits: less is left of it than tolerance x E[x^2]."""
+    own, frame, other = ("gene_ix", d.var, d.read_obs()) if axis == "gene" else ("cell_ix", d.read_obs(), d.var)
+    v = F.col("value").cast("double")
+    x = d.matrix()
+    extent = other.agg(F.count("*").cast("double").alias("n"))
+    first = x.groupBy(own).agg(F.sum(v).alias("s"), F.sum(v * v).alias("q"), F.count("*").cast("double").alias("k")).join(F.broadcast(extent), F.lit(True))  # one row
+    first = first.withColumn("mean", F.col("s") / F.col("n"))
+    gap = v - F.col("mean")
+    second = x.join(first.select(own, "mean"), own).groupBy(own).agg(F.sum(gap * gap).alias("d"))
+    both = first.join(second, own)
+    exact = (F.col("d") + (F.col("n") - F.col("k")) * F.col("mean") * F.col("mean")) / F.col("n")
+    closed = F.col("q") / F.col("n") - F.col("mean") * F.col("mean")
+    got = both.select(own, "mean", exact.alias("var"), closed.alias("closed"), (F.abs(closed) < tolerance * F.col("q") / F.col("n")).alias("cancelled"))
+    zero = F.lit(0.0)
+    return frame.select(own).join(got, own, "left").select(own, F.coalesce("mean", zero).alias("mean"), F.coalesce("var", zero).alias("var"), F.coalesce("closed", zero).alias("closed"), F.coalesce("cancelled", F.lit(False)).alias("cancelled"))

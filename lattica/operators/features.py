@@ -38,45 +38,45 @@ def dispersion_bins(moments: DataFrame, n_bins: int = 20) -> DataFrame:
     return m.select("gene_ix", "log_mean", "dispersion", "bin", z.alias("dispersion_norm"))
 
 
-#: Points at which a local regression is solved at most.
-LOESS_KNOTS = 400
-
-
 def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
-    """Local quadratic regression with tricube weights, evaluated at x; beyond LOESS_KNOTS points, at that many
-    quantiles and even steps of x, and linearly in between."""
-    n = len(x)
-    if n > LOESS_KNOTS:
-        half = LOESS_KNOTS // 2
-        knots = np.unique(np.concatenate([np.quantile(x, np.linspace(0, 1, half)), np.linspace(x.min(), x.max(), half)]))
-        return np.interp(x, knots, _loess_at(knots, x, y, span))
-    return _loess_at(x, x, y, span)
-
-
-def _loess_at(at: np.ndarray, x: np.ndarray, y: np.ndarray, span: float) -> np.ndarray:
+    """Local quadratic regression with tricube weights over each point's nearest span of the points, solved at every x."""
     n = len(x)
-    k = max(4, int(np.ceil(span * n)))
+    if not n:
+        return np.zeros(0)
+    k = min(n, max(4, int(np.ceil(span * n))))
     order = np.argsort(x, kind="stable")
-    xs, ys, out = x[order], y[order], np.empty(len(at))
-    for i, p in enumerate(at):
-        lo = max(0, min(n - k, int(np.searchsorted(xs, p)) - k // 2))
-        while lo + k < n and xs[lo + k] - p < p - xs[lo]:
-            lo += 1
-        while lo > 0 and p - xs[lo - 1] < xs[min(n, lo + k) - 1] - p:
-            lo -= 1
-        a, b = xs[lo : lo + k] - p, ys[lo : lo + k]
-        h = max(np.abs(a).max(), 1e-12) * 1.000001
-        w = (1 - (np.abs(a) / h) ** 3) ** 3
-        basis = np.stack([np.ones_like(a), a, a * a], 1) * np.sqrt(w)[:, None]
-        out[i] = np.linalg.lstsq(basis, b * np.sqrt(w), rcond=None)[0][0]
+    xs, ys, at = x[order], y[order], np.empty(n)
+    low, starts = 0, np.empty(n, np.int64)  # the window of the k nearest moves up with the point
+    for i, p in enumerate(xs):
+        while low + k < n and xs[low + k] - p < p - xs[low]:
+            low += 1
+        starts[i] = low
+    views = np.lib.stride_tricks.sliding_window_view(xs, k), np.lib.stride_tricks.sliding_window_view(ys, k)
+    for i in range(0, n, 64):
+        part = slice(i, min(n, i + 64))
+        a, b = views[0][starts[part]] - xs[part, None], views[1][starts[part]]
+        h = np.maximum(np.abs(a).max(1), 1e-12)[:, None] * 1.000001
+        a = a / h
+        w = (1 - np.abs(a) ** 3) ** 3
+        powers = [w]
+        for _ in range(4):
+            powers.append(powers[-1] * a)
+        m = np.stack([p.sum(1) for p in powers], 1)
+        left = np.stack([m[:, [0, 1, 2]], m[:, [1, 2, 3]], m[:, [2, 3, 4]]], 1)
+        right = np.stack([(p * b).sum(1) for p in powers[:3]], 1)
+        # few distinct places: the solution of least length
+        at[part] = (np.linalg.pinv(left, rcond=1e-10, hermitian=True) @ right[:, :, None])[:, 0, 0]
+    out = np.empty(n)
+    out[order] = at
     return out
 
 
-def variance_stabilised(d: Dataset, n_top: int = 2000, span: float = 0.3, batch: str | None = None) -> DataFrame:
+def variance_stabilised(d: Dataset, n_top: int = 2000, span: float = 0.3, batch: str | None = None, flavor: str = "seurat_v3") -> DataFrame:
     """Highly variable genes by standardised variance after a loess fit of log variance on log mean.
 
     The fit runs on the driver over one row a gene (genes are bounded, some 10^5 at most); both passes over values are
-    aggregations. With batches, genes are ordered by the median of their ranks, then by the number of batches.
+    aggregations. With batches, genes are ordered by the median of their ranks, then by the number of batches they are
+    among the top in; with flavor seurat_v3_paper by that number first.
     """
     keys = ["gene_ix"] if batch is None else ["gene_ix", batch]
     moments = sample_moments(d, batch=batch).filter("var > 0").select(*keys, "n_cells", "mean", "var").toPandas()
@@ -98,7 +98,8 @@ def variance_stabilised(d: Dataset, n_top: int = 2000, span: float = 0.3, batch:
     place = Window.orderBy(F.desc("variance_norm"), "gene_ix") if batch is None else Window.partitionBy(batch).orderBy(F.desc("variance_norm"), "gene_ix")
     ranked = out.withColumn("r", F.row_number().over(place) - 1)
     best = ranked.groupBy("gene_ix").agg(F.median(F.when(F.col("r") < n_top, F.col("r"))).alias("median_rank"), F.sum((F.col("r") < n_top).cast("long")).alias("n_batches"), F.avg("variance_norm").alias("variance_norm"))
-    final = Window.orderBy(F.col("median_rank").asc_nulls_last(), F.desc("n_batches"), "gene_ix")
+    rank, often = F.col("median_rank").asc_nulls_last(), F.desc("n_batches")
+    final = Window.orderBy(*{"seurat_v3": (rank, often), "seurat_v3_paper": (often, rank)}[flavor], "gene_ix")
     return best.withColumn("highly_variable", F.row_number().over(final) <= n_top)
 
 

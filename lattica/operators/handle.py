@@ -60,9 +60,37 @@ class Handle:
     def dot(self, weights: DataFrame) -> DataFrame:
         return T.matmul(self.x, weights)
 
-    def __getitem__(self, key: tuple[DataFrame | None, DataFrame | None]) -> DataFrame:
-        """X[rows, columns]: frames of (ord, cell_ix) and (ord, gene_ix) in the order asked for; None is everything."""
-        rows, columns = key
+    def _request(self, axis: str, key) -> DataFrame | None:
+        """(ord, key) rows of an index: a frame, a slice, a list of places (negative ones from the end) or of booleans.
+        Places are those of the sorted live keys."""
+        if key is None or isinstance(key, DataFrame):
+            return key
+        from lattica.operators.order import with_position
+
+        frame = self.data.read_obs().select(axis) if axis == "cell_ix" else self.data.var.select(axis)
+        placed, n = with_position(frame, [axis]), frame.count()
+        if isinstance(key, slice):
+            start, stop, step = key.indices(n)
+            inside = range(start, stop, step)
+            if not len(inside):
+                return placed.limit(0).select(F.col("position").alias("ord"), axis)
+            low, high = min(inside[0], inside[-1]), max(inside[0], inside[-1])
+            place = F.col("position")
+            return placed.filter((place >= low) & (place <= high) & ((place - start) % step == 0)).select(((place - start) / step).cast("long").alias("ord"), axis)
+        values = [key] if isinstance(key, int) and not isinstance(key, bool) else list(key)
+        if values and all(isinstance(v, bool) for v in values):
+            if len(values) != n:
+                raise IndexError(f"a mask of {len(values)} for {n} places")
+            values = [i for i, v in enumerate(values) if v]
+        if wrong := [v for v in values if not -n <= v < n]:
+            raise IndexError(f"no place {wrong[0]} among {n}")
+        asked = frame.sparkSession.createDataFrame([(i, v % n) for i, v in enumerate(values)], "ord long, position long")
+        return placed.join(F.broadcast(asked), "position").select("ord", axis)  # as many rows as the caller named
+
+    def __getitem__(self, key) -> DataFrame:
+        """X[rows, columns] in the order asked for: frames of (ord, cell_ix) and (ord, gene_ix), slices, masks, places."""
+        rows, columns = key if isinstance(key, tuple) else (key, None)
+        rows, columns = self._request("cell_ix", rows), self._request("gene_ix", columns)
         out = self.x
         if rows is not None:
             out = out.join(rows.select(F.col("ord").alias("row"), "cell_ix"), "cell_ix")

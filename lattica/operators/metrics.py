@@ -54,18 +54,33 @@ def distance(a: Column, b: Column, metric: str) -> Column:
     return F.when(norm > 0, 1 - dot / norm).otherwise(F.lit(1.0))
 
 
-def group_distances(points: DataFrame, by: str, block: int = 2048) -> DataFrame:
-    """For every two groups the mean Euclidean distance of their points (a point with itself counts as 0).
+def masked_distance(a: Column, b: Column, mask: Column, metric: str) -> Column:
+    """Distance over the places where a mask (array of booleans) is true."""
+    pick = lambda v: F.transform(F.filter(F.arrays_zip(v.alias("v"), mask.alias("m")), lambda e: e["m"]), lambda e: e["v"])
+    return distance(pick(a), pick(b), metric)
+
+
+def group_distances(points: DataFrame, by: str, block: int = 2048, control=None) -> DataFrame:
+    """For every two groups the mean Euclidean distance of their points (a point with itself counts as 0); with a control,
+    only for each group with itself and with the control.
 
     Groups are cut into blocks of about `block` points; each pair of blocks is one task's matrix product, and only sums
-    leave it. points: by, vec.
+    leave it. The cut is by a row number that is written once, so every read and every retry sees the same blocks.
+    points: by, vec.
     """
-    sizes = points.groupBy(by).agg(F.count("*").alias("n"))
-    cut = points.join(sizes, by).withColumn("part", F.pmod(F.xxhash64("vec", F.monotonically_increasing_id()), F.ceil(F.col("n") / block)))
-    blocks = cut.groupBy(by, "part").agg(F.collect_list("vec").alias("vecs"), F.first("n").alias("n"))
+    from lattica.sources.shared import materialize
+
+    rows = materialize(points.select(by, "vec").withColumn("_row", F.monotonically_increasing_id()), "distances")
+    sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
+    cut = rows.join(F.broadcast(sizes), by).withColumn("part", F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / block)))
+    blocks = materialize(cut.groupBy(by, "part").agg(F.collect_list("vec").alias("vecs"), F.first("n").alias("n")), "distance-blocks")
     a = blocks.select(F.col(by).alias("a"), F.col("part").alias("pa"), F.col("vecs").alias("va"), F.col("n").alias("na"))
     b = blocks.select(F.col(by).alias("b"), F.col("part").alias("pb"), F.col("vecs").alias("vb"), F.col("n").alias("nb"))
-    pairs = a.join(b, (F.col("a") < F.col("b")) | ((F.col("a") == F.col("b")) & (F.col("pa") <= F.col("pb"))))
+    pairs = a.join(b, (F.col("a") == F.col("b")) & (F.col("pa") <= F.col("pb")))
+    if control is None:
+        pairs = pairs.unionByName(a.join(b, F.col("a") < F.col("b")))
+    else:
+        pairs = pairs.unionByName(a.filter(F.col("a") != control).join(b.filter(F.col("b") == control), F.lit(True)))  # the control's blocks
 
     def work(batches):
         import pandas as pd
@@ -85,14 +100,26 @@ def group_distances(points: DataFrame, by: str, block: int = 2048) -> DataFrame:
     return pairs.mapInPandas(work, kind).groupBy("a", "b").agg(F.sum("part").alias("mean_distance"))
 
 
+def energy_distance_details(points: DataFrame, by: str, control) -> DataFrame:
+    """Of every other group: the mean distance to the control, within itself and within the control, and
+    2 D(group, control) - D(group, group) - D(control, control)."""
+    d = group_distances(points, by, control=control)
+    own = d.filter("a = b").select(F.col("a").alias(by), F.col("mean_distance").alias("within"))
+    base = own.filter(F.col(by) == control).select(F.col("within").alias("within_control"))
+    across = d.filter(F.col("a") != F.col("b")).select(F.col("a").alias(by), F.col("mean_distance").alias("across"))
+    out = across.join(own, by).join(F.broadcast(base), F.lit(True))  # base is one row
+    return out.select(by, "across", "within", "within_control", (2 * F.col("across") - F.col("within") - F.col("within_control")).alias("energy_distance"))
+
+
 def energy_distance(points: DataFrame, by: str, control) -> DataFrame:
     """2 D(group, control) - D(group, group) - D(control, control) of every other group."""
-    d = group_distances(points, by)
-    own = d.filter("a = b").select(F.col("a").alias(by), F.col("mean_distance").alias("within"))
-    base = own.filter(F.col(by) == control).select(F.col("within").alias("base"))
-    across = d.filter((F.col("a") != F.col("b")) & ((F.col("a") == control) | (F.col("b") == control)))
-    across = across.select(F.when(F.col("a") == control, F.col("b")).otherwise(F.col("a")).alias(by), F.col("mean_distance").alias("across"))
-    return across.join(own, by).join(F.broadcast(base), F.lit(True)).select(by, (2 * F.col("across") - F.col("within") - F.col("base")).alias("energy_distance"))
+    return energy_distance_details(points, by, control).select(by, "energy_distance")
+
+
+def energy_agreement(real: DataFrame, pred: DataFrame, by: str, control) -> DataFrame:
+    """One row: Pearson correlation of the groups' energy distances in real and predicted points."""
+    a, b = energy_distance(real, by, control), energy_distance(pred, by, control).withColumnRenamed("energy_distance", "other")
+    return a.join(b, by).agg(F.count("*").alias("n_groups"), F.corr("energy_distance", "other").alias("pearson"))
 
 
 def contingency(labels: DataFrame, a: str, b: str) -> DataFrame:

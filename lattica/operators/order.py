@@ -64,13 +64,18 @@ def shuffle_cells(d: Dataset, seed: int) -> DataFrame:
     return with_position(d.read_obs().select("cell_ix").withColumn("h", F.xxhash64("cell_ix", F.lit(seed))), ["h", "cell_ix"], "new_ix").select("cell_ix", "new_ix")
 
 
+def _edges_of(edges: DataFrame, pair: DataFrame) -> DataFrame:
+    """Edges whose both ends are in pair (cell_ix, new_ix), with the new keys."""
+    a, b = pair.select(F.col("cell_ix").alias("src"), F.col("new_ix").alias("_s")), pair.select(F.col("cell_ix").alias("dst"), F.col("new_ix").alias("_d"))
+    return edges.join(a, "src").join(b, "dst").drop("src", "dst").withColumnsRenamed({"_s": "src", "_d": "dst"}).select(*edges.columns)
+
+
 def apply_order(d: Dataset, order: DataFrame) -> Dataset:
     """The dataset with cells renumbered by cell_ix -> new_ix; cells outside it go."""
     pair = order.select("cell_ix", "new_ix")
     move = lambda f: f.join(pair, "cell_ix").drop("cell_ix").withColumnRenamed("new_ix", "cell_ix")
-    a, b = pair.select(F.col("cell_ix").alias("src"), F.col("new_ix").alias("_s")), pair.select(F.col("cell_ix").alias("dst"), F.col("new_ix").alias("_d"))
-    edges = lambda f: f.join(a, "src").join(b, "dst").drop("src", "dst").withColumnsRenamed({"_s": "src", "_d": "dst"})
-    return replace(d, obs=move(d.obs), x=move(d.x), layers={k: move(v) for k, v in d.layers.items()}, obsm={k: move(v) for k, v in d.obsm.items()}, obsp={k: edges(v) for k, v in d.obsp.items()}, tombstones=None)
+    each = lambda m, f: {k: f(v) for k, v in m.items()}
+    return replace(d, obs=move(d.obs), x=move(d.x), layers=each(d.layers, move), obsm=each(d.obsm, move), obsp=each(d.obsp, lambda e: _edges_of(e, pair)), tombstones=None, raw={})
 
 
 def delete_cells(d: Dataset, where: Column) -> Dataset:
@@ -85,41 +90,70 @@ def compact(d: Dataset) -> Dataset:
 
 
 def subset(d: Dataset, obs_where: Column | None = None, var_where: Column | None = None) -> Dataset:
-    """All members restricted to matching cells and genes, keys kept."""
+    """All members restricted to matching cells and genes, keys kept: values, layers, embeddings and loadings lose the rows
+    of other cells and genes, graphs the edges with an end outside."""
     obs = d.read_obs() if obs_where is None else d.read_obs().filter(obs_where)
     var = d.var if var_where is None else d.var.filter(var_where)
-    cut = lambda f: f.join(obs.select("cell_ix"), "cell_ix", "left_semi").join(var.select("gene_ix"), "gene_ix", "left_semi")
-    cells = lambda f: f.join(obs.select("cell_ix"), "cell_ix", "left_semi")
-    return replace(d, obs=obs, var=var, x=cut(d.x), layers={k: cut(v) for k, v in d.layers.items()}, obsm={k: cells(v) for k, v in d.obsm.items()}, tombstones=None)
+    kept = obs.select("cell_ix")
+    cells = lambda f: f.join(kept, "cell_ix", "left_semi")
+    genes = lambda f: f.join(var.select("gene_ix"), "gene_ix", "left_semi")
+    each = lambda m, f: {k: f(v) for k, v in m.items()}
+    edges = lambda f: f.join(kept.withColumnRenamed("cell_ix", "src"), "src", "left_semi").join(kept.withColumnRenamed("cell_ix", "dst"), "dst", "left_semi").select(*f.columns)
+    some = obs if obs_where is not None or d.tombstones is not None else None
+    cut = lambda layer: d.selected(layer, some, None if var_where is None else var)
+    return replace(
+        d, obs=obs, var=var, x=cut(None), layers={k: cut(k) for k in d.layers}, obsm=each(d.obsm, cells), obsp=each(d.obsp, edges), varm=each(d.varm, genes), tombstones=None,
+        raw=each(d.raw, lambda f: genes(cells(f))),
+    )
+
+
+def dry_run(d: Dataset, obs_where: Column | None = None, var_where: Column | None = None) -> DataFrame:
+    """One row: cells, genes and stored values that a subset would keep, without making it."""
+    cut = subset(d, obs_where, var_where)
+    n = lambda f, name: f.agg(F.count("*").alias(name))
+    return n(cut.obs, "n_cells").crossJoin(n(cut.var, "n_genes")).crossJoin(n(cut.x, "n_values"))  # single rows
 
 
 class MergeError(ValueError):
     """Inputs don't agree in genes, columns or members."""
 
 
-def merge(parts: list[Dataset], offsets: list[int]) -> Dataset:
-    """Cells of all parts one after another, keys moved by the offsets; genes and obs columns must be the same."""
+def merge(parts: list[Dataset], offsets: list[int], sort_by: list[str] | None = None, reverse: bool = False) -> Dataset:
+    """Cells of all parts one after another, keys moved by the offsets; genes, obs columns and the names of all members
+    must be the same. Graphs of the parts stay apart; gene loadings must agree; uns is the first part's, others must not
+    hold another value under one of its keys. With sort_by the cells are renumbered from 0 in that order, as sort_cells
+    has it, ties in order of the parts."""
     head = parts[0]
+    differ = lambda a, b: not a.exceptAll(b).unionAll(b.exceptAll(a)).isEmpty()
     for p in parts[1:]:
         if p.obs.schema != head.obs.schema or p.var.columns != head.var.columns:
             raise MergeError("obs or var columns differ")
-        if set(p.obsm) != set(head.obsm) or set(p.layers) != set(head.layers):
-            raise MergeError("layers or embeddings differ")
-        if not p.var.exceptAll(head.var).unionAll(head.var.exceptAll(p.var)).isEmpty():
+        for member in ("obsm", "layers", "obsp", "varm"):
+            if set(getattr(p, member)) != set(getattr(head, member)):
+                raise MergeError(f"names in {member} differ")
+        if differ(p.var, head.var):
             raise MergeError("genes differ")
-    move = lambda f, o: f.withColumn("cell_ix", F.col("cell_ix") + o)
+        if any(differ(p.varm[k], v) for k, v in head.varm.items()):
+            raise MergeError("gene loadings differ")
+        if any(p.uns[k] != v for k, v in head.uns.items() if k in p.uns):
+            raise MergeError("uns differs")
 
-    def stack(get):
+    def stack(get, keys=("cell_ix",)):
         out = None
         for p, o in zip(parts, offsets):
-            f = move(p.live(get(p)), o)
+            f = get(p)
+            for k in keys:
+                f = p.live(f.withColumnRenamed(k, "cell_ix")).withColumnRenamed("cell_ix", k) if p.tombstones is not None else f
+                f = f.withColumn(k, F.col(k) + o)
             out = f if out is None else out.unionByName(f)
         return out
 
-    return replace(
-        head, obs=stack(lambda p: p.obs), x=stack(lambda p: p.x), tombstones=None,
+    whole = replace(
+        head, obs=stack(lambda p: p.obs), x=stack(lambda p: p.x), tombstones=None, raw={}, uns={k: v for p in reversed(parts) for k, v in p.uns.items()},
         layers={k: stack(lambda p, k=k: p.layers[k]) for k in head.layers}, obsm={k: stack(lambda p, k=k: p.obsm[k]) for k in head.obsm},
+        obsp={k: stack(lambda p, k=k: p.obsp[k], ("src", "dst")) for k in head.obsp},
     )
+    return whole if sort_by is None else apply_order(whole, sort_cells(whole, sort_by, reverse))
 
 
 def append(target: Dataset, source: Dataset) -> Dataset:
@@ -147,6 +181,29 @@ def set_operation(a: DataFrame, b: DataFrame, op: str, key: str = "cell_ix") ->
     return {"union": lambda: a.union(b).distinct(), "intersect": lambda: a.intersect(b), "difference": lambda: a.subtract(b)}[op]()
 
 
+def cut_points(frame: DataFrame, key: str, parts: int) -> DataFrame:
+    """part, cut: the values of key that cut its rows into `parts` ranges of about equal size (no interpolation); a cut that
+    repeats stays: one value holds more than a part."""
+    shares = [i / parts for i in range(1, parts)]
+    one = frame.agg(*[F.expr(f"percentile_disc({s!r}) WITHIN GROUP (ORDER BY {key})").alias(f"c{i}") for i, s in enumerate(shares, 1)])
+    return one.select(F.explode(F.array(*[F.struct(F.lit(i).alias("part"), F.col(f"c{i}").alias("cut")) for i in range(1, parts)])).alias("e")).select("e.*")
+
+
+def take_first(rows: DataFrame, n: int, key: str = "cell_ix") -> DataFrame:
+    """The n smallest row numbers of a set."""
+    return rows.select(key).distinct().orderBy(key).limit(n)
+
+
+def universe(n: int, spark, key: str = "cell_ix") -> DataFrame:
+    """All row numbers below n."""
+    return spark.range(n).select(F.col("id").alias(key))
+
+
+def complement(rows: DataFrame, n: int, key: str = "cell_ix") -> DataFrame:
+    """The row numbers below n that a set lacks."""
+    return universe(n, rows.sparkSession, key).join(rows.select(key), key, "left_anti")
+
+
 def top_k(x: DataFrame, k: int, pad: int | None = None) -> DataFrame:
     """Per cell the k largest values (value descending, gene ascending) as arrays, padded with id `pad` and value 0."""
     entry = F.struct((-F.col("value")).alias("v"), F.col("gene_ix").alias("g"))

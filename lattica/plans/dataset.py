@@ -9,8 +9,12 @@ from pyspark.sql import functions as F
 
 
 def canonical(coo: DataFrame) -> DataFrame:
-    """Coordinates with duplicates summed and zeros dropped: each (cell, gene) at most once."""
-    return coo.groupBy("cell_ix", "gene_ix").agg(F.sum("value").alias("value")).filter("value <> 0")
+    """Coordinates with duplicates summed and zeros dropped: each (cell, gene) at most once, dealt by cell.
+
+    The rows are shuffled by cell alone, which groups by (cell, gene) as well: what follows per cell (depths, joins with
+    cells) needs no other shuffle. An entry that a cell repeats often is added up after the shuffle.
+    """
+    return coo.repartition("cell_ix").groupBy("cell_ix", "gene_ix").agg(F.sum("value").alias("value")).filter("value <> 0")
 
 
 @dataclass(frozen=True)
@@ -30,6 +34,8 @@ class Dataset:
     varm: dict[str, DataFrame] = field(default_factory=dict)
     uns: dict = field(default_factory=dict)
     tombstones: DataFrame | None = None
+    #: Coordinates that may repeat, of x (None) and of layers: where they are given, filters on keys run before the sums.
+    raw: dict[str | None, DataFrame] = field(default_factory=dict)
 
     @property
     def spark(self) -> SparkSession:
@@ -49,13 +55,26 @@ class Dataset:
     def matrix(self, layer: str | None = None) -> DataFrame:
         return self.live(self.x if layer is None else self.layers[layer])
 
+    def selected(self, layer: str | None = None, cells: DataFrame | None = None, genes: DataFrame | None = None) -> DataFrame:
+        """Values of some cells and genes (frames with their keys). Key filters commute with the sum of duplicates, so they
+        reach the source where raw coordinates are known."""
+        source = self.raw.get(layer)
+        out = self.matrix(layer) if source is None else source
+        if genes is not None:
+            out = out.join(genes.select("gene_ix"), "gene_ix", "left_semi")
+        if cells is not None:
+            out = out.join(cells.select("cell_ix"), "cell_ix", "left_semi")
+        elif source is not None:
+            out = self.live(out)
+        return out if source is None else canonical(out)
+
     def query(self):
         from lattica.plans.query import Query
 
         return Query(self)
 
     def with_x(self, x: DataFrame) -> Dataset:
-        return replace(self, x=x)
+        return replace(self, x=x, raw={k: v for k, v in self.raw.items() if k is not None})
 
 
 def bind(spark: SparkSession, sf_dir: str) -> Dataset:
@@ -70,7 +89,6 @@ def bind(spark: SparkSession, sf_dir: str) -> Dataset:
     var = read("part").select(F.col("p_partkey").alias("gene_ix"), F.concat(F.lit("g"), F.col("p_partkey").cast("string")).alias("gene_id"), "p_name", "p_brand", "p_type", "p_size")
     line = read("lineitem")
     key = F.col("l_orderkey").alias("cell_ix"), F.col("l_partkey").alias("gene_ix")
-    x = canonical(line.select(*key, F.col("l_quantity").alias("value")))
-    price = canonical(line.select(*key, F.col("l_extendedprice").alias("value")))
+    raw = {None: line.select(*key, F.col("l_quantity").alias("value")), "price": line.select(*key, F.col("l_extendedprice").alias("value"))}
     emb = read("embeddings").select(F.col("vec_id").alias("cell_ix"), F.col("embedding").cast("array<double>").alias("vec"), F.col("label").alias("label"))
-    return Dataset(obs, var, x, layers={"price": price}, obsm={"X_emb": emb})
+    return Dataset(obs, var, canonical(raw[None]), layers={"price": canonical(raw["price"])}, obsm={"X_emb": emb}, raw=raw)

@@ -151,9 +151,9 @@ def gather_rows(spark, d):
     return T.gather_rows(bind(spark, d).matrix(), request)
 
 
-@query("SELECT cell_ix, gene_ix, CAST(value AS BIGINT) AS value FROM x WHERE cell_ix < 500")
+@query("SELECT cell_ix, gene_ix, CAST(value AS BIGINT) AS value FROM x")
 def collect_exact_integers(spark, d):
-    return bind(spark, d).matrix().filter("cell_ix < 500").withColumn("value", F.when(F.col("value") == F.floor("value"), F.col("value").cast("long")).otherwise(F.raise_error(F.lit("a value isn't whole"))))
+    return bind(spark, d).query().collect_as("long")[0]
 
 
 # ---- aggregates
@@ -336,10 +336,10 @@ def pflog_baseline(spark, d):
     return T.pflog(bind(spark, d), 0.05)[1].withColumn("baseline", r("baseline", 9))
 
 
-@query(_PFLOG + "SELECT cell_ix, gene_ix, round(coalesce(ln(1 + 4 * 0.05 * value), 0.0) + baseline, 9) AS value FROM (SELECT cell_ix FROM obs WHERE cell_ix < 100) CROSS JOIN (SELECT gene_ix FROM genes WHERE gene_ix < 40) LEFT JOIN x USING (cell_ix, gene_ix) JOIN b USING (cell_ix)")
+@query(_PFLOG + "SELECT cell_ix, gene_ix, round(coalesce(ln(1 + 4 * 0.05 * value), 0.0) + baseline, 9) AS value FROM (SELECT cell_ix FROM obs) CROSS JOIN (SELECT gene_ix FROM genes WHERE gene_id IN " + SELECTED + ") LEFT JOIN x USING (cell_ix, gene_ix) JOIN b USING (cell_ix)")
 def pflog_dense(spark, d):
     data = bind(spark, d)
-    return T.pflog_reconstruct(data, 0.05, data.read_obs().filter("cell_ix < 100"), data.var.filter("gene_ix < 40")).withColumn("value", r("value", 9))
+    return T.pflog_reconstruct(data, 0.05, data.read_obs(), data.query().select_genes(NAMES).selected_var()).withColumn("value", r("value", 9))
 
 
 @query(", m AS (" + _MOMENTS.removeprefix(", n AS (SELECT count(*) AS n FROM obs), s AS (SELECT gene_ix, sum(value) AS s, sum(value * value) AS q FROM x GROUP BY 1) ").replace("round(", "(").replace(", 9)", ")").replace("FROM genes LEFT JOIN s USING (gene_ix), n", "FROM genes LEFT JOIN (SELECT gene_ix, sum(value) AS s, sum(value * value) AS q FROM x GROUP BY 1) USING (gene_ix), (SELECT count(*) AS n FROM obs)") + ") SELECT round(median((var - mean) / (mean * mean)), 6) AS alpha FROM m WHERE mean > 0")

@@ -60,10 +60,10 @@ def attach_by_position(spark, d):
     return J.attach_positional(bind(spark, d).read_obs("o_orderstatus"), source, ["payload"]).select("cell_ix", "payload")
 
 
-@query(", n AS (SELECT 'o' || cell_ix AS barcode, 'g' || gene_ix AS gene, value FROM x WHERE gene_ix % 3 = 0) SELECT cell_ix, gene_ix, value FROM n JOIN obs ON barcode = 'o' || cell_ix JOIN genes ON gene = gene_id WHERE o_orderstatus = 'F'")
+@query(", n AS (SELECT 'o' || cell_ix AS barcode, 'g' || gene_ix AS gene, value FROM (SELECT l_orderkey AS cell_ix, l_partkey AS gene_ix, round(sum(l_extendedprice), 2) AS value FROM lineitem GROUP BY 1, 2)) SELECT cell_ix, gene_ix, value FROM n JOIN obs ON barcode = 'o' || cell_ix JOIN genes ON gene = gene_id WHERE o_orderstatus = 'F'")
 def import_layer(spark, d):
     data = bind(spark, d)
-    named = data.matrix().filter("gene_ix % 3 = 0").select(F.concat(F.lit("o"), F.col("cell_ix").cast("string")).alias("barcode"), F.concat(F.lit("g"), F.col("gene_ix").cast("string")).alias("gene"), "value")
+    named = data.matrix("price").withColumn("value", r("value", 2)).select(F.concat(F.lit("o"), F.col("cell_ix").cast("string")).alias("barcode"), F.concat(F.lit("g"), F.col("gene_ix").cast("string")).alias("gene"), "value")
     obs = data.obs.filter("o_orderstatus = 'F'").withColumn("barcode_", F.concat(F.lit("o"), F.col("cell_ix").cast("string")))
     return J.import_layer(named, obs, data.var, "barcode_", "gene_id")
 
@@ -209,10 +209,10 @@ def bin_values(spark, d):
     return K.bin_values(bind(spark, d).matrix(), 6)
 
 
-@query(", plan AS (SELECT cell_ix AS ord, cell_ix AS cell, cell_ix + 1 AS control FROM obs WHERE cell_ix % 50 = 0) SELECT ord, cell, control, gene_ix, sum(x) AS x, sum(y) AS x_paired FROM (SELECT ord, cell, control, gene_ix, value AS x, 0.0 AS y FROM plan JOIN x ON cell = cell_ix UNION ALL SELECT ord, cell, control, gene_ix, 0.0, value FROM plan JOIN x ON control = cell_ix) GROUP BY 1, 2, 3, 4")
+@query(", plan AS (SELECT cell_ix AS ord, cell_ix AS cell, cell_ix + 1 AS control FROM obs) SELECT ord, cell, control, gene_ix, sum(x) AS x, sum(y) AS x_paired FROM (SELECT ord, cell, control, gene_ix, value AS x, 0.0 AS y FROM plan JOIN x ON cell = cell_ix UNION ALL SELECT ord, cell, control, gene_ix, 0.0, value FROM plan JOIN x ON control = cell_ix) GROUP BY 1, 2, 3, 4")
 def index_plan(spark, d):
     data = bind(spark, d)
-    plan = data.obs.filter("cell_ix % 50 = 0").select(F.col("cell_ix").alias("ord"), F.col("cell_ix").alias("cell"), (F.col("cell_ix") + 1).alias("control"))
+    plan = data.obs.select(F.col("cell_ix").alias("ord"), F.col("cell_ix").alias("cell"), (F.col("cell_ix") + 1).alias("control"))
     return K.index_plan(data.matrix(), plan)
 
 

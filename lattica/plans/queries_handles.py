@@ -101,14 +101,14 @@ def ranking_extracted(spark, d):
 @query()
 def adjusted_mutual_information(spark, d):
     obs = bind(spark, d).obs
-    return spark.createDataFrame([(M.adjusted_mutual_information(obs, "c_mktsegment", "o_orderstatus"),)], "ami double")
+    return spark.createDataFrame([(round(M.adjusted_mutual_information(obs, "c_mktsegment", "o_orderstatus"), 8),)], "ami double")
 
 
-@query(", v AS (SELECT gene_id, gene_ix * 2 AS global_ix FROM genes WHERE gene_ix % 2 = 0), p AS (SELECT cell_ix % 10 AS set_id, cell_ix AS ord, CASE WHEN cell_ix % 3 = 0 THEN 'a' ELSE 'b' END AS source, cell_ix FROM obs WHERE cell_ix < 3000), s AS (SELECT 'a' AS source, cell_ix, gene_ix, value FROM x UNION ALL SELECT 'b', l_orderkey, l_partkey, round(sum(l_extendedprice), 2) FROM lineitem GROUP BY 2, 3) SELECT set_id, ord, source, cell_ix, global_ix AS gene_ix, value FROM p JOIN s USING (source, cell_ix) JOIN genes USING (gene_ix) JOIN v USING (gene_id)")
+@query(", v AS (SELECT gene_id, gene_ix * 2 AS global_ix FROM genes), p AS (SELECT cell_ix % 10 AS set_id, cell_ix AS ord, CASE WHEN cell_ix % 3 = 0 THEN 'a' ELSE 'b' END AS source, cell_ix FROM obs), s AS (SELECT 'a' AS source, cell_ix, gene_ix, value FROM x UNION ALL SELECT 'b', l_orderkey, l_partkey, round(sum(l_extendedprice), 2) FROM lineitem GROUP BY 2, 3) SELECT set_id, ord, source, cell_ix, global_ix AS gene_ix, value FROM p JOIN s USING (source, cell_ix) JOIN genes USING (gene_ix) JOIN v USING (gene_id)")
 def gather_cell_sets(spark, d):
     data = bind(spark, d)
-    vocabulary = data.var.filter("gene_ix % 2 = 0").select("gene_id", (F.col("gene_ix") * 2).alias("global_ix"))
-    plan = data.obs.filter("cell_ix < 3000").select((F.col("cell_ix") % 10).alias("set_id"), F.col("cell_ix").alias("ord"), F.when(F.col("cell_ix") % 3 == 0, "a").otherwise("b").alias("source"), "cell_ix")
+    vocabulary = data.var.select("gene_id", (F.col("gene_ix") * 2).alias("global_ix"))
+    plan = data.obs.select((F.col("cell_ix") % 10).alias("set_id"), F.col("cell_ix").alias("ord"), F.when(F.col("cell_ix") % 3 == 0, "a").otherwise("b").alias("source"), "cell_ix")
     second = data.with_x(data.layers["price"].withColumn("value", r("value", 2)))
     return G.gather_sets({"a": data, "b": second}, vocabulary, plan)
 
@@ -123,11 +123,10 @@ def graph_rows(spark, d):
 @query()
 def agreement_sweep(spark, d):
     e = bind(spark, d).obsm["X_emb"].select("label", "vec")
-    return G.agreement_sweep(e, e.filter("pmod(hash(vec), 2) = 0"), "label", resolutions=(0.5, 1.0), k=3)
+    return G.agreement_sweep(e, e.withColumn("vec", F.transform("vec", lambda v: F.signum(v))), "label", resolutions=(0.5, 1.0), k=3)
 
 
 @query()
 def pairwise_nb_regression(spark, d):
     data = bind(spark, d)
-    part = data.with_x(data.matrix().filter("gene_ix <= 60"))
-    return G.pdex_nb_glm(part, "o_orderstatus", "F", "n_name")
+    return G.pdex_nb_glm(data, "o_orderstatus", "F", "n_name")

@@ -69,5 +69,5 @@ def harmony_corrected(spark, d):
 @query()
 def pseudobulk_regression(spark, d):
     data = bind(spark, d)
-    bulk = A.pseudobulk(data, ["n_name", "o_orderstatus"], total=True, x=data.matrix().filter("gene_ix <= 150"))
+    bulk = A.pseudobulk(data, ["n_name", "o_orderstatus"], total=True)
     return G.pseudobulk_dex(bulk, "n_name", "o_orderstatus", "F", "O")

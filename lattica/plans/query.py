@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.plans.dataset import Dataset
+from lattica.plans.dataset import Dataset, canonical
 from lattica.plans.predicate import compile_predicate
 
 
@@ -85,15 +85,13 @@ class Query:
 
     def x(self) -> DataFrame:
         """cell_ix, gene_ix, value of the selection, transformed as asked."""
-        out = self.data.matrix(self.layer)
-        if self.genes is not None or self.var_where:
-            out = out.join(self.selected_var().select("gene_ix"), "gene_ix", "left_semi")
-        if self.obs_where or self.first is not None or self.data.tombstones is not None:
-            out = out.join(self.cells().select("cell_ix"), "cell_ix", "left_semi")
+        genes = self.selected_var() if self.genes is not None or self.var_where else None
+        cells = self.cells() if self.obs_where or self.first is not None or self.data.tombstones is not None else None
+        out = self.data.selected(self.layer, cells, genes)
         if self.target is not None:
-            depth = out.groupBy("cell_ix").agg(F.sum("value").alias("depth"))
-            scale = F.when(F.col("depth") > 0, F.lit(self.target) / F.col("depth")).otherwise(F.lit(1.0))
-            out = out.join(depth, "cell_ix").select("cell_ix", "gene_ix", (F.col("value") * scale).alias("value"))
+            # rows are dealt by cell already: the window over cells needs no shuffle
+            depth = F.sum("value").over(Window.partitionBy("cell_ix"))
+            out = out.withColumn("value", F.when(depth > 0, F.col("value") * F.lit(self.target) / depth).otherwise(F.col("value")))
         if self.log:
             out = out.withColumn("value", F.log1p("value"))
         return out.select("cell_ix", "gene_ix", "value")
@@ -104,6 +102,17 @@ class Query:
         """x, cells and genes of the selection, all lazy."""
         return self.x(), self.cells(), self.selected_var()
 
+    def collect_as(self, kind: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """collect with exact whole values of a narrower type (int or long). A transform on the way, a value that isn't
+        whole, or one beyond the type's range is an error."""
+        if self.target is not None or self.log:
+            raise ValueError("values are exact only without normalisation and logarithm")
+        top = {"int": (1 << 31) - 1, "long": (1 << 53)}[kind]
+        v = F.col("value")
+        wrong = F.raise_error(F.concat(F.lit("a value isn't whole or too large: "), v.cast("string")))
+        x = self.x().withColumn("value", F.when((v == F.floor(v)) & (F.abs(v) <= top), v.cast(kind)).otherwise(wrong.cast(kind)))
+        return x, self.cells(), self.selected_var()
+
     def count(self) -> int:
         """Matching cells; a limit doesn't change it, and x isn't read."""
         return self.matching().count()
@@ -112,7 +121,12 @@ class Query:
         return not self.matching().isEmpty()
 
     def read_row_range(self, start: int, stop: int) -> DataFrame:
-        return self.data.matrix(self.layer).filter((F.col("cell_ix") >= start) & (F.col("cell_ix") < stop))
+        """Values of the cells in [start, stop); a negative or turned range is an error."""
+        if start < 0 or stop < start:
+            raise ValueError(f"[{start}, {stop}) isn't a range of rows")
+        inside = (F.col("cell_ix") >= start) & (F.col("cell_ix") < stop)
+        source = self.data.raw.get(self.layer)
+        return self.data.matrix(self.layer).filter(inside) if source is None else canonical(self.data.live(source.filter(inside)))
 
     def group_labels(self, column: str) -> DataFrame:
         return self.data.read_obs(column).groupBy(column).agg(F.count("*").alias("n_cells"))
@@ -123,7 +137,20 @@ class Query:
         if own.isEmpty():
             near = suggest(self.data.read_obs(column), column, [label]).select("suggestion").collect()
             raise UnknownNames(f"no group {label!r}; did you mean {[r[0] for r in near]}?")
-        return self.data.matrix(self.layer).join(own.select("cell_ix"), "cell_ix", "left_semi")
+        return self.data.selected(self.layer, own)
+
+    def read_reference(self, column: str, reference: str) -> DataFrame:
+        """Values of the reference group's cells."""
+        return self.read_group(column, reference)
+
+    def iter_group_shards(self, column: str, reference: str, budget: int):
+        """(labels, values) of one shard of groups after the other, the reference first, as group_shards plans them."""
+        from lattica.operators.order import group_shards
+
+        plan = group_shards(self.data, column, reference, budget).groupBy("shard").agg(F.array_sort(F.collect_list(column)).alias("labels"))
+        for row in plan.orderBy("shard").collect():  # one row a shard
+            cells = self.data.read_obs(column).filter(F.col(column).isin(row["labels"]))
+            yield row["labels"], self.data.selected(self.layer, cells.select("cell_ix"))
 
 
 def suggest(obs: DataFrame, column: str, wanted: list[str], n: int = 3) -> DataFrame:
