@@ -8,12 +8,11 @@ instead of documents, which keeps copies of one document from making its words l
 
 A text's neighbours are the labelled examples of largest cosine, found exactly: inverted lists hold the examples of each
 term in blocks, with the largest weight of each block. Terms that a large share of the examples holds have plain rows
-instead of lists; what they add is computed first, for many texts at once. To that the lists' block maxima are summed as
-bounds; the most promising blocks are scored, then those whose bound reaches the k-th cosine so far. Votes are weighted by cosine over distance. They are
+instead of lists; what they add is computed first, for many texts at once. It is a lower bound of each cosine; its k-th
+largest value is the floor. To it the lists' block maxima are summed as upper bounds of whole blocks, and only blocks
+whose bound reaches the floor are scored. Votes are weighted by cosine over distance. They are
 calibrated on examples whose labels had no part in the weights or the neighbours (two folds).
 
-Terms are held as 64-bit hashes; two terms of equal hash would count as one (odds of 1e-7 at a million terms).
-
 Defined cases: a text without any term of the vocabulary (null and empty texts too) has no neighbours and gets the share
 of toxic ones among such examples, drawn to the base rate; without labels, or with one class only, every score is the
 smoothed base rate (0.5 without labels); repeated rows get equal scores; ties in cosine go to the smaller id; columns of
@@ -22,64 +21,41 @@ the tables beyond those named are ignored.
 
 from __future__ import annotations
 
-from collections import Counter
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, DoubleType, IntegerType, LongType, StringType, StructField, StructType
+from pyspark.sql.types import DoubleType, IntegerType, LongType, StringType, StructField, StructType
 
+from lattica.llm.bpe import groups
 from lattica.llm.common import append_columns, as_bytes, ship_package
-from lattica.llm.decontam import words_of
+from lattica.llm.decontam import TO_WORDS, words_of
 from lattica.llm.gbdt import sigmoid
 from lattica.llm.labelled import held_out, sample
 
 #: Lengths of the word prefixes (characters) that are terms too.
 PREFIXES = (4, 6)
-#: So many labelled examples are indexed at most; labelled.MAX_BYTES bounds their texts.
-MAX_EXAMPLES = 3000
+#: So many labelled examples are indexed at most, of so many bytes of text together: this bounds the vocabulary too.
+MAX_EXAMPLES, MAX_BYTES = 2000, 12_000_000
 NEIGHBOURS = 15
 BLOCK = 32
 #: A term that at least this share of the examples holds is stored as a row with a weight for each example.
 DENSE_SHARE = 1 / 16
 #: Texts whose dense terms are multiplied together.
 TOGETHER = 128
-#: Words whose terms a Python worker keeps.
-_WORD_CACHE = 150_000
-
-
-def terms_of(word: str) -> list[str]:
-    """The terms of a word: itself and, for words with a letter, its proper prefixes."""
-    return [word] if word.isdigit() else [word, *(word[:k] + "*" for k in PREFIXES if len(word) > k)]
-
+#: Texts whose words are told apart together.
+GROUP_BYTES = 4_000_000
 
-def hashes_of(word: bytes) -> list[int]:
-    """The hashes of a word's terms, as signed 64-bit numbers."""
-    from xxhash import xxh64_intdigest
 
-    return [xxh64_intdigest(t) - (1 << 63) for t in terms_of(word.decode("utf-8", "replace"))]
-
-
-def _example_terms(text: bytes) -> tuple[list[int], list[int], list[int]]:
-    """An example's term hashes, counts, and a hash of the surroundings of each term's first place."""
-    from xxhash import xxh64_intdigest
-
-    words = words_of(text)
-    count: dict[int, int] = {}
-    near: dict[int, int] = {}
-    terms: dict[bytes, list[int]] = {}
-    for i, w in enumerate(words):
-        known = terms.get(w)
-        if known is None:
-            known = terms[w] = hashes_of(w)
-            around = xxh64_intdigest(b" ".join(words[max(0, i - 1) : i + 2])) >> 1
-            for t in known:
-                near.setdefault(t, around)
-        for t in known:
-            count[t] = count.get(t, 0) + 1
-    return list(count), list(count.values()), [near[t] for t in count]
+def terms_of(word: bytes) -> list[bytes]:
+    """The terms of a word: itself and, for words with other characters than digits, its proper prefixes."""
+    if word.isdigit():
+        return [word]
+    if word.isascii():
+        return [word, *[word[:k] + b"*" for k in PREFIXES if len(word) > k]]
+    text = word.decode("utf-8", "replace")
+    return [word, *[text[:k].encode() + b"*" for k in PREFIXES if len(text) > k]]
 
 
 def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -89,14 +65,38 @@ def ranges(start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 class Examples:
-    """Labelled examples as arrays: of each (example, term) pair the term's number, count and surroundings."""
-
-    def __init__(self, ids: np.ndarray, y: np.ndarray, sizes: np.ndarray, terms: np.ndarray, counts: np.ndarray, near: np.ndarray):
-        self.ids, self.y, self.sizes = ids, y.astype(float), sizes
-        self.vocabulary, self.term = np.unique(terms, return_inverse=True)
-        self.tf, self.near = 1 + np.log(counts.astype(float)), near
-        self.at = np.concatenate([[0], np.cumsum(sizes)])
-        self.owner = np.repeat(np.arange(len(ids)), sizes)
+    """Labelled examples (id, label, text) as arrays: of each (example, term) pair the term's number, count, and a hash of
+    the surroundings of its first place."""
+
+    def __init__(self, rows: list[tuple[int, int, bytes]]):
+        from xxhash import xxh64_intdigest
+
+        rows = sorted(rows)
+        self.vocabulary: dict[bytes, int] = {}
+        number, term, counts, near, sizes = self.vocabulary.setdefault, [], [], [], []
+        for _, _, text in rows:
+            words = words_of(text)
+            count: dict[int, int] = {}
+            around: dict[int, int] = {}
+            known: dict[bytes, list[int]] = {}
+            for i, w in enumerate(words):
+                terms = known.get(w)
+                if terms is None:
+                    terms = known[w] = [number(t, len(self.vocabulary)) for t in terms_of(w)]
+                    here = xxh64_intdigest(b" ".join(words[max(0, i - 1) : i + 2])) >> 1
+                    for t in terms:
+                        around.setdefault(t, here)
+                for t in terms:
+                    count[t] = count.get(t, 0) + 1
+            term += count
+            counts += count.values()
+            near += [around[t] for t in count]
+            sizes.append(len(count))
+        self.ids, self.y = np.array([r[0] for r in rows], np.int64), np.array([r[1] for r in rows], float)
+        self.sizes, self.term, self.near = np.array(sizes, np.int64), np.array(term, np.int64), np.array(near, np.int64)
+        self.tf = 1 + np.log(np.array(counts, float))
+        self.at = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.owner = np.repeat(np.arange(len(rows)), self.sizes)
 
     def relevance(self, chosen: np.ndarray) -> np.ndarray:
         """Each term's relevance, from the examples chosen (a mask)."""
@@ -168,31 +168,21 @@ class BlockMaxIndex:
     def _search(self, terms: np.ndarray, w: np.ndarray, sure: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
         entry, n = ranges(self.lists[terms], self.lists[terms + 1])
         w, block = np.repeat(w, n), self.of_block[entry]
-        bound = np.bincount(block, w * self.top[entry], self.blocks) + sure.reshape(self.blocks, self.block).max(1)
-        order = np.argsort(-bound, kind="stable")
-        order = order[bound[order] > 0]
-        places, cosines, least, done = np.zeros(0, np.int64), np.zeros(0), 0.0, 0
-        while done < len(order):
-            # the first round takes twice the blocks that k examples fill, the second all that can still matter
-            take = order[done : done + 2 * -(-k // self.block)] if not done else order[done:]
-            done += len(take)
-            if len(places) >= k:
-                take = take[bound[take] >= least - 1e-9]
-            if not len(take):
-                break
-            opened = np.zeros(self.blocks, bool)
-            opened[take] = True
-            rows = np.flatnonzero(opened[block])
-            e = entry[rows]
-            posting, m = ranges(self.first[e], self.first[e + 1])
-            c = sure + np.bincount(self.example[posting], np.repeat(w[rows], m) * self.value[posting], len(sure))
-            here = np.flatnonzero(np.repeat(opened, self.block) & (c > 0) & (c >= least - 1e-9))
-            places, cosines = np.concatenate([places, here]), np.concatenate([cosines, np.round(c[here], 9)])
-            if len(places) > k:
-                best = np.lexsort((self.ids[places], -cosines))[:k]
-                places, cosines = places[best], cosines[best]
-                least = cosines.min()
-        best = np.lexsort((self.ids[places], -cosines))
+        sums = sure.reshape(self.blocks, self.block)
+        opened = np.bincount(block, w * self.top[entry], self.blocks) + sums.max(1)
+        # no weight is negative, so the k-th cosine is no smaller than the k-th of these sums
+        least = np.partition(sure, len(sure) - k)[len(sure) - k] if len(sure) >= k else 0.0
+        opened = (opened >= least - 1e-9) & (opened > 0)
+        rows = np.flatnonzero(opened[block])
+        e = entry[rows]
+        posting, m = ranges(self.first[e], self.first[e + 1])
+        c = sure + np.bincount(self.example[posting], np.repeat(w[rows], m) * self.value[posting], len(sure))
+        places = np.flatnonzero(np.repeat(opened, self.block) & (c > 0) & (c >= least - 1e-9))
+        cosines = np.round(c[places], 9)
+        if len(places) > 4 * k:
+            few = np.partition(cosines, len(places) - k)[len(places) - k]
+            places, cosines = places[cosines >= few], cosines[cosines >= few]
+        best = np.lexsort((self.ids[places], -cosines))[:k]
         return places[best], cosines[best]
 
 
@@ -212,7 +202,7 @@ class Model:
         self.prior = float((y.sum() + 0.5) / (n + 1))
         bare = y[examples.sizes == 0]
         self.without = float((bare.sum() + self.prior) / (len(bare) + 1))
-        self.vocabulary = examples.vocabulary
+        self.vocabulary = vocabulary_array(examples.vocabulary)
         self.usable = bool(n and y.min() < y.max())
         if not self.usable:
             return
@@ -258,77 +248,53 @@ def calibrate(votes: np.ndarray, y: np.ndarray) -> np.ndarray:
     return b
 
 
-class TermCounter:
-    """Term numbers of texts, by a vocabulary of sorted hashes; keeps the terms of a bounded number of words."""
-
-    def __init__(self, vocabulary: np.ndarray):
-        self.vocabulary, self.known = vocabulary, {}
-
-    def _learn(self, fresh: list[bytes]) -> dict[bytes, tuple[int, ...]]:
-        hashes = [hashes_of(w) for w in fresh]
-        flat = np.array([h for hs in hashes for h in hs], np.int64)
-        if len(self.vocabulary):
-            at = np.minimum(np.searchsorted(self.vocabulary, flat), len(self.vocabulary) - 1)
-            at = np.where(self.vocabulary[at] == flat, at, -1).tolist()
-        else:
-            at = [-1] * len(flat)
-        out, k = {}, 0
-        for w, hs in zip(fresh, hashes):
-            out[w] = tuple(t for t in at[k : k + len(hs)] if t >= 0)
-            k += len(hs)
-        return out
-
-    def _of(self, words) -> dict[bytes, tuple[int, ...]]:
-        """A dict that holds the terms of all the words."""
-        fresh = [w for w in words if w not in self.known]
-        if fresh:
-            if len(self.known) + len(fresh) > _WORD_CACHE:
-                self.known.clear()
-                fresh = list(words)
-            learned = self._learn(fresh)
-            if len(fresh) > _WORD_CACHE:  # one very long text: not kept
-                return learned
-            self.known.update(learned)
-        return self.known
-
-    def present(self, text: bytes) -> np.ndarray:
-        """The distinct terms of a text."""
-        words = set(words_of(text))
-        found = set().union(*map(self._of(words).__getitem__, words))
-        return np.fromiter(found, np.int64, len(found))
-
-    def terms(self, text: bytes) -> tuple[np.ndarray, np.ndarray]:
-        """The distinct terms of a text in order, and 1 + the logs of their counts."""
-        words = Counter(words_of(text))
-        lists = list(map(self._of(words.keys()).__getitem__, words))
-        flat = np.fromiter(chain.from_iterable(lists), np.int64)
-        n = np.repeat(np.fromiter(words.values(), float, len(words)), np.fromiter(map(len, lists), np.int64, len(lists)))
-        terms, at = np.unique(flat, return_inverse=True)
-        return terms, 1 + np.log(np.bincount(at, n, len(terms)))
-
-
-def _collect_examples(train: DataFrame) -> Examples:
-    """The sample's terms on the driver: at most MAX_EXAMPLES texts of labelled.MAX_BYTES together."""
-    kinds = StructType(
-        [StructField("doc_id", LongType()), StructField("y", IntegerType())]
-        + [StructField("terms", ArrayType(LongType())), StructField("counts", ArrayType(IntegerType())), StructField("near", ArrayType(LongType()))]
-    )
-
-    def run(batches):
-        for batch in batches:
-            made = [_example_terms(t) for t in as_bytes(batch.column(2))]
-            lists = [pa.array([m[k] for m in made], pa.list_(t)) for k, t in enumerate((pa.int64(), pa.int32(), pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *lists], names=kinds.names)
-
-    rows = train.select(F.col("doc_id").cast("long"), "y", "text").mapInArrow(run, kinds).toArrow().combine_chunks().sort_by("doc_id")
-    flat = lambda c: (rows[c].combine_chunks().flatten() if rows.num_rows else rows[c]).to_numpy()
-    sizes = np.array([len(x) for x in rows["terms"]], np.int64) if rows.num_rows else np.zeros(0, np.int64)
-    if not rows.num_rows:
-        return Examples(np.zeros(0, np.int64), np.zeros(0), sizes, *(np.zeros(0, np.int64),) * 3)
-    return Examples(rows["doc_id"].to_numpy(), rows["y"].to_numpy(), sizes, flat("terms"), flat("counts"), flat("near"))
-
-
-def document_frequency(docs: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> tuple[np.ndarray, int]:
+def vocabulary_array(vocabulary: dict[bytes, int]) -> pa.Array:
+    """The terms in order of their numbers."""
+    return pa.array([t.decode("utf-8", "replace") for t in vocabulary], pa.large_string())
+
+
+def _numbers(words: pa.Array, vocabulary: pa.Array) -> np.ndarray:
+    """The numbers of each distinct word's terms (words x terms, -1 where it has none or the vocabulary hasn't)."""
+    try:
+        text = words.cast(pa.large_string())
+    except pa.ArrowInvalid:  # bytes that aren't UTF-8
+        text = pa.array([w.decode("utf-8", "replace") for w in words.to_pylist()], pa.large_string())
+    length, digits = pc.utf8_length(text).to_numpy(), pc.ascii_is_decimal(text).to_numpy(zero_copy_only=False)
+    out = [pc.index_in(text, value_set=vocabulary).fill_null(-1).to_numpy()]
+    for k in PREFIXES:
+        start = pc.binary_join_element_wise(pc.utf8_slice_codeunits(text, 0, k), pa.scalar("*", pa.large_string()), pa.scalar("", pa.large_string()))
+        out.append(np.where((length > k) & ~digits, pc.index_in(start, value_set=vocabulary).fill_null(-1).to_numpy(), -1))
+    return np.stack(out, 1).astype(np.int64)
+
+
+def count_terms(texts: list[bytes], vocabulary: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The vocabulary's terms in some texts: where each text's part begins (and the last one ends), the distinct term
+    numbers in order, and their counts. All words of the texts are told apart at once, and each distinct one is looked
+    up once."""
+    raw = b" ".join([t.translate(TO_WORDS) for t in texts])
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    letters = np.frombuffer(raw, np.uint8)
+    inside = letters != 0x20
+    edge = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    start, end = edge[::2], edge[1::2]
+    if not len(start) or not len(vocabulary):
+        return np.zeros(len(texts) + 1, np.int64), np.zeros(0, np.int64), np.zeros(0)
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    words = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets), pa.py_buffer(letters[inside])]).dictionary_encode()
+    found = _numbers(words.dictionary, vocabulary)
+    owner = np.searchsorted(begins, start, side="right") - 1
+    pair, n = np.unique(owner * len(found) + words.indices.to_numpy(), return_counts=True)
+    owner, word = np.divmod(pair, len(found))
+    row, column = np.nonzero(found[word] >= 0)
+    key, count = owner[row] * len(vocabulary) + found[word[row], column], n[row]
+    order = np.argsort(key, kind="stable")
+    key, count = key[order], count[order]
+    new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]])) if len(key) else np.zeros(0, np.int64)
+    owner, term = np.divmod(key[new], len(vocabulary))
+    return np.searchsorted(owner, np.arange(len(texts) + 1)), term, np.add.reduceat(count, new).astype(float) if len(new) else np.zeros(0)
+
+
+def document_frequency(docs: DataFrame, vocabulary: pa.Array, text_col: str = "text") -> tuple[np.ndarray, int]:
     """In how many documents each term of the vocabulary is, and how many documents there are; counted over all of docs.
 
     Every task adds up its own documents and gives one row a term it met; only those rows are shuffled.
@@ -337,12 +303,12 @@ def document_frequency(docs: DataFrame, vocabulary: np.ndarray, text_col: str =
     kinds = StructType([StructField("term", IntegerType()), StructField("n", LongType())])
 
     def run(batches):
-        counter = TermCounter(shared.value)
-        n, seen = 0, np.zeros(len(counter.vocabulary), np.int64)
+        known = shared.value
+        n, seen = 0, np.zeros(len(known), np.int64)
         for batch in batches:
-            for text in as_bytes(batch.column(0)):
-                n += 1
-                seen[counter.present(text)] += 1
+            for run in groups(as_bytes(batch.column(0)), GROUP_BYTES):
+                n += len(run)
+                seen += np.bincount(count_terms(run, known)[1], minlength=len(known))
         met = np.flatnonzero(seen)
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([[-1], met]).astype(np.int32)), pa.array(np.concatenate([[n], seen[met]]))], names=kinds.names)
 
@@ -357,18 +323,21 @@ def detect(docs: DataFrame, labels: DataFrame, target: str = "toxic", limit: int
     """doc_id, held_out, score, predicted, evidence of each document."""
     spark = docs.sparkSession
     ship_package(spark)
-    examples = _collect_examples(sample(docs, labels, target, limit))
-    frequency, n_docs = document_frequency(docs, examples.vocabulary)
+    rows = sample(docs, labels, target, limit, MAX_BYTES).select("doc_id", "y", "text").collect()  # at most MAX_BYTES of text
+    examples = Examples([(r["doc_id"], r["y"], r["text"].encode()) for r in rows])
+    frequency, n_docs = document_frequency(docs, vocabulary_array(examples.vocabulary))
     shared = spark.sparkContext.broadcast(Model(examples, frequency, n_docs))
 
     def make():
         model = shared.value
-        counter = TermCounter(model.vocabulary)
 
         def work(batch):
             texts = as_bytes(batch.column(1))
-            one = list(dict.fromkeys(texts))  # copies in a batch are scored once
-            found = dict(zip(one, model.score_many([counter.terms(t) for t in one])))
+            found = {}
+            for run in groups(list(dict.fromkeys(texts)), GROUP_BYTES):  # copies in a batch are scored once
+                at, terms, counts = count_terms(run, model.vocabulary)
+                tf = 1 + np.log(counts)
+                found.update(zip(run, model.score_many([(terms[a:b], tf[a:b]) for a, b in zip(at[:-1], at[1:])])))
             p, why = [found[t][0] for t in texts], [found[t][1] for t in texts]
             return [pa.array(p, pa.float64()), pa.array([int(x >= threshold) for x in p], pa.int32()), pa.array(why, pa.string())]
 
