@@ -95,9 +95,7 @@ def test_held_out_labels_are_never_learned(spark, part):
 
 def _random_examples(n, vocabulary, r):
     texts = [" ".join(r.choice(vocabulary, r.integers(1, 30))) for _ in range(n)]
-    made = [toxicity._example_terms(t.encode()) for t in texts]
-    sizes = np.array([len(m[0]) for m in made])
-    return texts, toxicity.Examples(np.arange(n), r.integers(0, 2, n), sizes, *(np.array([x for m in made for x in m[k]]) for k in range(3)))
+    return texts, toxicity.Examples([(i, int(r.integers(0, 2)), t.encode()) for i, t in enumerate(texts)])
 
 
 def test_block_max_search_is_exact():
@@ -161,7 +159,7 @@ def plain_toxicity(rows, known):
         return np.log(share / (1 - share)), len(near)
 
     ids = sorted(known)
-    fold = {d: sum(toxicity._example_terms(" ".join(words[d]).encode())[2]) >> 3 & 1 for d in ids}
+    fold = {d: int(toxicity.Examples([(d, 0, " ".join(words[d]).encode())]).near.sum()) >> 3 & 1 for d in ids}
     votes, y = [], []
     for f in (0, 1):
         some = [d for d in ids if fold[d] != f]
