@@ -37,16 +37,16 @@ def _log2fc(group: str, rest: str, epsilon: float, logged: bool):
     return F.log2((g + epsilon) / (r + epsilon))
 
 
-def value_counts(x: DataFrame, keys: list[str], extra: list[str]) -> tuple[DataFrame, DataFrame]:
-    """(rows by keys, value and extra with their count k; by keys and value the count t, entries before it, entries m).
+def ranked_counts(x: DataFrame, keys: list[str], by: str) -> DataFrame:
+    """One row a (keys, value, by) with its count k; over keys: the value's count t, the entries before it, and all entries m.
 
-    Both are aggregations with partial sums before the shuffle, and the window runs over distinct values: a key that
-    holds a large share of all entries isn't gathered entry by entry.
+    The counts are added up before the shuffle, so a key that holds a large share of all entries isn't gathered entry by
+    entry; the windows then run over distinct values, in one clustering by the keys.
     """
-    fine = x.groupBy(*keys, "value", *extra).agg(F.count("*").alias("k"))
-    per_value = fine.groupBy(*keys, "value").agg(F.sum("k").alias("t"))
-    before = F.coalesce(F.sum("t").over(Window.partitionBy(*keys).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    return fine, per_value.withColumns({"before": before, "m": F.sum("t").over(Window.partitionBy(*keys))})
+    fine = x.groupBy(*keys, "value", by).agg(F.count("*").alias("k"))
+    upto = F.sum("k").over(Window.partitionBy(*keys).orderBy("value").rangeBetween(Window.unboundedPreceding, 0))
+    t = F.sum("k").over(Window.partitionBy(*keys, "value"))
+    return fine.withColumns({"t": t, "upto": upto, "m": F.sum("k").over(Window.partitionBy(*keys))}).withColumn("before", F.col("upto") - F.col("t")).drop("upto")
 
 
 def rank_sum(d: Dataset, by: str, tie_correct: bool = False, logged: bool = False, strata: tuple[str, ...] = (), min_cells: int = 1) -> DataFrame:
@@ -62,16 +62,19 @@ def rank_sum(d: Dataset, by: str, tie_correct: bool = False, logged: bool = Fals
         labels = labels.join(kept.select(*keys), keys, "left_semi")
     pool = labels.groupBy(*keys).agg(F.count("*").alias("n"))
     sizes = labels.filter(F.col(by).isNotNull()).groupBy(*keys, by).agg(F.count("*").alias("n1"))
-    fine, values = value_counts(d.matrix().join(labels, "cell_ix"), [*keys, "gene_ix"], [by])
-    values = values.join(pool, keys) if keys else values.join(F.broadcast(pool), F.lit(True))  # without strata one row
+    ranked = ranked_counts(d.matrix().join(labels, "cell_ix"), [*keys, "gene_ix"], by)
     t = F.col("t").cast("double")
-    per_gene = values.groupBy(*keys, "gene_ix").agg(F.first("m").alias("m"), F.first("n").alias("n"), F.sum(t * F.col("value")).alias("all_sum"), F.sum(t * t * t - t).alias("tie_stored"))
-    placed = values.select(*keys, "gene_ix", "value", (F.col("n") - F.col("m") + F.col("before") + (t + 1) / 2).alias("rank"))
-    own = fine.filter(F.col(by).isNotNull()).join(placed, [*keys, "gene_ix", "value"]).groupBy(*keys, by, "gene_ix").agg(
-        F.sum(F.col("rank") * F.col("k")).alias("w"), F.sum("k").alias("k"), F.sum(F.col("value") * F.col("k")).alias("s")
-    )
+    # ranks among the stored entries; the zeros before them are added below. Each of a value's t entries brings t^2 - 1.
+    own = ranked.groupBy(*keys, "gene_ix", by).agg(
+        F.sum((F.col("before") + (t + 1) / 2) * F.col("k")).alias("stored_w"), F.sum("k").alias("k"), F.sum(F.col("value") * F.col("k")).alias("s"),
+        F.sum(F.col("k") * (t * t - 1)).alias("tie_part"), F.first("m").alias("m"),
+    )
+    per_gene = own.groupBy(*keys, "gene_ix").agg(F.first("m").alias("m"), F.sum("s").alias("all_sum"), F.sum("tie_part").alias("tie_stored"))
+    per_gene = per_gene.join(pool, keys) if keys else per_gene.join(F.broadcast(pool), F.lit(True))  # without strata one row
+    own = own.filter(F.col(by).isNotNull()).select(*keys, by, "gene_ix", "stored_w", "k", "s")
     grid = per_gene.join(sizes, keys) if keys else per_gene.crossJoin(sizes)  # genes x groups, the size of the result
     out = grid.join(own, [*keys, by, "gene_ix"], "left")
+    out = out.withColumn("w", F.col("stored_w") + (F.col("n") - F.col("m")) * F.col("k"))
     zero = F.lit(0.0)
     z0 = F.col("n") - F.col("m")
     w = F.coalesce("w", zero) + (F.col("n1") - F.coalesce("k", F.lit(0))) * (z0 + 1) / 2
@@ -119,26 +122,28 @@ def pairwise_reference(d: Dataset, by: str, reference: str, epsilon: float = 1e-
     ref_n = sizes.filter(F.col(by) == reference).select(F.col("n1").alias("n2"))
     targets = sizes.filter(F.col(by) != reference).join(F.broadcast(ref_n), F.lit(True))  # ref_n is one row
     counted = d.matrix().join(labels, "cell_ix").groupBy("gene_ix", "value", by).agg(F.count("*").alias("k"))
-    zero = F.lit(0).cast("long")
-    own = counted.filter(F.col(by) != reference).select(F.col(by).alias("target"), "gene_ix", "value", F.col("k").alias("a"), zero.alias("b"))
-    # the reference's distinct values, once for each target
-    ref = counted.filter(F.col(by) == reference).crossJoin(targets.select(F.col(by).alias("target"))).select("target", "gene_ix", "value", zero.alias("a"), F.col("k").alias("b"))
-    pooled = own.unionByName(ref).groupBy("target", "gene_ix", "value").agg(F.sum("a").alias("a"), F.sum("b").alias("b")).withColumn("t", F.col("a") + F.col("b"))
-    key = Window.partitionBy("target", "gene_ix")
-    before = F.coalesce(F.sum("t").over(key.orderBy("value").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranked = pooled.withColumns({"before": before, "m": F.sum("t").over(key)}).join(targets.withColumnRenamed(by, "target"), "target")
-    t = F.col("t").cast("double")
-    rank = F.col("n1") + F.col("n2") - F.col("m") + F.col("before") + (t + 1) / 2
+    # the reference's entries are cumulated once a gene; every target looks its values up in them
+    is_ref, k = F.col(by) == reference, F.col("k")
+    of_ref = F.when(is_ref, k).otherwise(F.lit(0).cast("long"))
+    same = F.sum(of_ref).over(Window.partitionBy("gene_ix", "value"))
+    upto = F.sum(of_ref).over(Window.partitionBy("gene_ix").orderBy("value").rangeBetween(Window.unboundedPreceding, 0))
+    placed = counted.withColumns({"b": same, "upto": upto})
     mid = F.log1p("value") if geometric else F.col("value")
-    got = ranked.groupBy("target", "gene_ix").agg(
-        F.first("n1").alias("n1"), F.first("n2").alias("n2"), F.first("m").alias("m"), F.sum(rank * F.col("a")).alias("w"), F.sum("a").alias("k"),
-        F.sum(mid * F.col("a")).alias("s1"), F.sum(mid * F.col("b")).alias("s2"), F.sum(t * t * t - t).alias("tie"),
+    b, a = F.col("b").cast("double"), k.cast("double")
+    cube = lambda t: t * t * t - t
+    own = placed.filter(~is_ref).groupBy("gene_ix", F.col(by).alias("target")).agg(
+        F.sum(a * (F.col("upto") - b / 2)).alias("above"), F.sum("k").alias("k"), F.sum(mid * k).alias("s1"), F.sum(cube(a + b) - cube(b)).alias("tie_more"),
     )
+    ref = placed.filter(is_ref).groupBy("gene_ix").agg(F.sum("k").alias("m"), F.sum(mid * k).alias("s2"), F.sum(cube(a)).alias("tie_ref"))
+    # genes of either side; targets x genes is the size of the result
+    pairs = ref.select("gene_ix").crossJoin(targets.select(F.col(by).alias("target"))).unionByName(own.select("gene_ix", "target")).distinct()
+    got = pairs.join(own, ["gene_ix", "target"], "left").join(ref, "gene_ix", "left").join(F.broadcast(targets.withColumnRenamed(by, "target")), "target").na.fill(0, ["above", "k", "s1", "tie_more", "m", "s2", "tie_ref"])
     n1, n2 = F.col("n1").cast("double"), F.col("n2").cast("double")
     n = n1 + n2
-    z0 = n - F.col("m")
-    u = F.col("w") + (n1 - F.col("k")) * (z0 + 1) / 2 - n1 * (n1 + 1) / 2
-    tie = F.col("tie") + z0 * z0 * z0 - z0
+    zero_ref, zero_own = n2 - F.col("m"), n1 - F.col("k")
+    u = F.col("above") + F.col("k") * zero_ref + zero_own * zero_ref / 2
+    z0 = zero_ref + zero_own
+    tie = F.col("tie_ref") + F.col("tie_more") + cube(z0)
     spread = n1 * n2 / 12 * (n + 1 - tie / (n * (n - 1)))
     top = F.greatest(u, n1 * n2 - u)
     z = F.try_divide(top - n1 * n2 / 2 - 0.5, F.sqrt(F.when(spread > 0, spread)))

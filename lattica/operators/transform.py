@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.operators.aggregates import median_library, sample_moments
@@ -19,7 +19,10 @@ def normalize_total(d: Dataset, target_sum: float | None = None, x: DataFrame |
 
     x restricts which values are returned, not what they are divided by.
     """
-    out = (d.matrix() if x is None else x).join(depth(d), "cell_ix")
+    if x is None:  # rows are dealt by cell: a window needs no second look at them
+        out = d.matrix().withColumn("depth", F.sum("value").over(Window.partitionBy("cell_ix")))
+    else:
+        out = x.join(depth(d), "cell_ix")
     if target_sum is None:
         out, target = out.join(F.broadcast(median_library(d)), F.lit(True)), F.col("target_sum")  # one row
     else:

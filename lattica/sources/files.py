@@ -87,9 +87,87 @@ def read_h5(spark: SparkSession, path: str) -> Dataset:
         return from_arrays(spark, text(f["obs"]), text(f["var"]), f["X/indptr"][:], f["X/indices"][:], f["X/data"][:])
 
 
-def detect_format(path: str) -> str:
-    """The kind of a file by its name."""
-    for end, kind in ((".h5ad", "h5ad"), (".h5mu", "h5mu"), (".h5", "10x"), (".mtx", "mtx"), (".mtx.gz", "mtx"), (".csv", "table"), (".tsv", "table"), (".parquet", "parquet")):
+def _first_bytes(spark: SparkSession, path: str, n: int = 16) -> bytes:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+    try:
+        out = bytearray()
+        while len(out) < n and (b := stream.read()) >= 0:
+            out.append(b)
+        return bytes(out)
+    finally:
+        stream.close()
+
+
+def _names(spark: SparkSession, folder: str) -> list[str] | None:
+    """The names in a folder, or None if it is a file."""
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(folder)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.getFileStatus(p).isDirectory() else None
+
+
+def detect_format(path: str, spark: SparkSession | None = None) -> str:
+    """The kind of a file or folder: by its content where a session is given (folders by what is in them, files by their
+    first bytes), by its name otherwise. What an HDF5 file holds is told by its name either way."""
+    named = "store"
+    for end, kind in ((".h5ad", "h5ad"), (".h5mu", "h5mu"), (".h5", "10x"), (".mtx", "mtx"), (".mtx.gz", "mtx"), (".csv", "table"), (".tsv", "table"), (".csv.gz", "table"), (".tsv.gz", "table"), (".parquet", "parquet")):
         if path.rstrip("/").endswith(end):
-            return kind
-    return "store"
+            named = kind
+            break
+    if spark is None:
+        return named
+    inside = _names(spark, path)
+    if inside is not None:
+        if "_manifest" in inside:
+            return "store"
+        if any(n in inside for n in ("matrix.mtx", "matrix.mtx.gz")):
+            return "10x-mtx"
+        if any(n.endswith(".parquet") for n in inside):
+            return "parquet"
+        raise ValueError(f"no kind of dataset is in {path}: {inside[:10]}")
+    head = _first_bytes(spark, path)
+    if head.startswith(b"\x89HDF\r\n\x1a\n"):
+        return named if named in ("h5ad", "h5mu", "10x") else "hdf5"
+    if head.startswith(b"PAR1"):
+        return "parquet"
+    if head.startswith(b"%%MatrixMarket"):
+        return "mtx"
+    if head.startswith(b"\x1f\x8b"):
+        return named if named in ("mtx", "table") else "gzip"
+    return "table"
+
+
+def read_10x(spark: SparkSession, folder: str, feature_type: str | None = None, allow_lossy: bool = False) -> Dataset:
+    """A folder of matrix.mtx, barcodes.tsv and features.tsv (or genes.tsv), plain or gzipped.
+
+    features have an id, a name and, in newer folders, a type; feature_type keeps the genes of one type, renumbered from 0.
+    A gzipped matrix can't be split: one task unpacks it, and the rows are then dealt by cell.
+    """
+    have = _names(spark, folder) or []
+    find = lambda *names: next((f"{folder.rstrip('/')}/{n}{z}" for n in names for z in ("", ".gz") if n + z in have), None)
+    matrix, barcodes, features = find("matrix.mtx"), find("barcodes.tsv"), find("features.tsv", "genes.tsv")
+    if None in (matrix, barcodes, features):
+        raise ValueError(f"matrix, barcodes or features are missing in {folder}: {have}")
+    d = read_mtx(spark, matrix, barcodes, features, allow_lossy)
+    part = F.split("value", "\t")
+    lines = _numbered(spark.read.text(features).select(F.monotonically_increasing_id().alias("line"), "value"), "gene_ix")
+    var = lines.select("gene_ix", part[0].alias("gene_id"), F.coalesce(F.get(part, 1), part[0]).alias("gene_name"), F.coalesce(F.get(part, 2), F.lit("Gene Expression")).alias("feature_type"))
+    if feature_type is None:
+        return Dataset(d.obs, var, d.x)
+    kept = var.filter(F.col("feature_type") == feature_type)
+    from lattica.operators.order import with_position
+
+    pair = with_position(kept.select("gene_ix"), ["gene_ix"], "new_ix")
+    move = lambda f: f.join(pair, "gene_ix").drop("gene_ix").withColumnRenamed("new_ix", "gene_ix")
+    return Dataset(d.obs, move(kept).select("gene_ix", "gene_id", "gene_name", "feature_type"), move(d.x).select("cell_ix", "gene_ix", "value"))
+
+
+def read_10x_modalities(spark: SparkSession, folder: str):
+    """Every feature type of a 10x folder as a modality over the same cells."""
+    from lattica.operators.handle import Modalities
+
+    whole = read_10x(spark, folder)
+    kinds = [r[0] for r in whole.var.select("feature_type").distinct().orderBy("feature_type").collect()]  # a handful
+    return Modalities(whole.obs, {k: read_10x(spark, folder, k) for k in kinds})

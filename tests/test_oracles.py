@@ -40,8 +40,3 @@ def test_query_matches_sql(spark, con, name):
     a = sorted((tuple(plain(r[c]) for c in columns) for r in df.collect()), key=repr)
     b = sorted((tuple(plain(r[i]) for i in at) for r in found.fetchall()), key=repr)
     assert a == b
-
-
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES)))
-def test_query_without_sql_gives_rows(spark, name):
-    assert QUERIES[name](spark, TINY).limit(3).count() > 0
