@@ -68,8 +68,9 @@ def group_distances(points: DataFrame, by: str, block: int = 2048, control=None)
     leave it. The cut is by a row number that is written once, so every read and every retry sees the same blocks.
     points: by, vec.
     """
-    from lattica.sources.shared import materialize
+    from lattica.sources.shared import materialize, ship
 
+    ship(points.sparkSession)
     rows = materialize(points.select(by, "vec").withColumn("_row", F.monotonically_increasing_id()), "distances")
     sizes = rows.groupBy(by).agg(F.count("*").alias("n"))
     cut = rows.join(F.broadcast(sizes), by).withColumn("part", F.pmod(F.xxhash64("_row"), F.ceil(F.col("n") / block)))

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lattica.functions.special import nb_log_likelihood, trigamma
+from lattica.sources.shared import ship
 
 MU_FLOOR, RIDGE, ALPHA_LOW, ALPHA_HIGH = 1e-10, 1e-6, 1e-8, 100.0
 
@@ -78,6 +79,7 @@ def nb_glm(spark: SparkSession, counts: pd.DataFrame, design: np.ndarray, coeffi
     All-zero genes are left out. Dispersions: per-gene estimate, a trend a0 + a1 / mean, shrinkage towards it by the
     spread beyond sampling noise; estimates far above the trend keep their own.
     """
+    ship(spark)
     s = size_factors(counts)
     offset, genes = np.log(s), counts[counts.sum(axis=1) > 0]
     t = pd.DataFrame({"gene": genes.index, "y": [r.astype(float).tolist() for r in genes.to_numpy()]})

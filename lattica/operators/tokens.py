@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from lattica.plans.dataset import Dataset
+from lattica.sources.shared import ship
 
 
 def rank_tokens(x: DataFrame, gene_stats: DataFrame, target: float, l_max: int) -> DataFrame:
@@ -53,6 +54,7 @@ def _rng(seed: int, key: int) -> np.random.Generator:
 
 def sample_genes(x: DataFrame, n: int, seed: int, weight: str = "log1p") -> DataFrame:
     """Per cell n genes with replacement, by log1p or raw weight (inverse of the cumulative weights), seeded by the cell."""
+    ship(x.sparkSession)
     w = F.log1p("value") if weight == "log1p" else F.col("value")
     rows = x.filter("value > 0").groupBy("cell_ix").agg(F.array_sort(F.collect_list(F.struct(F.col("gene_ix").cast("long").alias("g"), w.alias("w")))).alias("e"))
     rows = rows.select("cell_ix", F.col("e")["g"].alias("genes"), F.col("e")["w"].alias("weights"))
@@ -74,6 +76,7 @@ def downsample(x: DataFrame, target: float, seed: int, mode: str = "binomial") -
     count for itself, so the library is `target` on average; multinomial (without replacement) hits it exactly."""
     if mode not in ("binomial", "multinomial"):
         raise ValueError(f"no mode {mode!r}")
+    ship(x.sparkSession)
     rows = x.groupBy("cell_ix").agg(F.array_sort(F.collect_list(F.struct(F.col("gene_ix").cast("long").alias("g"), F.col("value").cast("double").alias("v")))).alias("e"))
     rows = rows.select("cell_ix", F.col("e")["g"].alias("genes"), F.col("e")["v"].alias("values"))
 

@@ -7,6 +7,8 @@ from dataclasses import dataclass, field, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lattica.sources.shared import ship
+
 
 def canonical(coo: DataFrame) -> DataFrame:
     """Coordinates with duplicates summed and zeros dropped: each (cell, gene) at most once, dealt by cell.
@@ -37,6 +39,9 @@ class Dataset:
     #: Coordinates that may repeat, of x (None) and of layers: where they are given, filters on keys run before the sums.
     raw: dict[str | None, DataFrame] = field(default_factory=dict)
 
+    def __post_init__(self) -> None:
+        ship(self.obs.sparkSession)  # operators in Python find the package wherever they run
+
     @property
     def spark(self) -> SparkSession:
         return self.obs.sparkSession

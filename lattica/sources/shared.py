@@ -1,10 +1,11 @@
-"""Intermediate tables in the folder that all executors share."""
+"""What executors share: intermediate tables in a common folder, and the package itself."""
 
 from __future__ import annotations
 
 import os
 import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -37,3 +38,24 @@ def discard(df: DataFrame) -> None:
     sc = df.sparkSession.sparkContext
     path = sc._jvm.org.apache.hadoop.fs.Path(df.written_to)
     path.getFileSystem(sc._jsc.hadoopConfiguration()).delete(path, True)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Make this package importable in every Python worker, wherever it runs (once an application)."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    name = os.path.basename(root)
+    target = os.path.join(tempfile.mkdtemp(), f"{name}_code.zip")
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for folder, _, files in os.walk(root):
+            for f in files:
+                if f.endswith(".py"):
+                    path = os.path.join(folder, f)
+                    z.write(path, os.path.join(name, os.path.relpath(path, root)))
+    sc.addPyFile(target)
+    _SHIPPED.add(sc.applicationId)
