@@ -156,6 +156,15 @@ def merge(parts: list[Dataset], offsets: list[int], sort_by: list[str] | None =
     return whole if sort_by is None else apply_order(whole, sort_cells(whole, sort_by, reverse))
 
 
+def carry_audit(before: Dataset, after: Dataset) -> DataFrame:
+    """One row a named member (layers, obsm, obsp, varm, uns, and the columns of obs and var): whether an operation has
+    kept, lost or added it."""
+    of = lambda d: {("obs", c) for c in d.obs.columns} | {("var", c) for c in d.var.columns} | {(m, k) for m in ("layers", "obsm", "obsp", "varm", "uns") for k in getattr(d, m)}
+    had, has = of(before), of(after)
+    rows = [(m, k, "kept" if (m, k) in had & has else "lost" if (m, k) in had else "added") for m, k in sorted(had | has)]
+    return before.spark.createDataFrame(rows, "member string, name string, status string")
+
+
 def append(target: Dataset, source: Dataset) -> Dataset:
     """source's cells after target's: keys move past target's largest one."""
     top = target.obs.agg(F.coalesce(F.max("cell_ix"), F.lit(-1))).first()[0]

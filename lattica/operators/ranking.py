@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from lattica.plans.dataset import Dataset
+from lattica.sources.shared import materialize
 
 
 @F.pandas_udf(DoubleType())
@@ -69,6 +70,7 @@ def rank_sum(d: Dataset, by: str, tie_correct: bool = False, logged: bool = Fals
         F.sum((F.col("before") + (t + 1) / 2) * F.col("k")).alias("stored_w"), F.sum("k").alias("k"), F.sum(F.col("value") * F.col("k")).alias("s"),
         F.sum(F.col("k") * (t * t - 1)).alias("tie_part"), F.first("m").alias("m"),
     )
+    own = materialize(own, "rank-sums")  # genes x groups rows, read twice below
     per_gene = own.groupBy(*keys, "gene_ix").agg(F.first("m").alias("m"), F.sum("s").alias("all_sum"), F.sum("tie_part").alias("tie_stored"))
     per_gene = per_gene.join(pool, keys) if keys else per_gene.join(F.broadcast(pool), F.lit(True))  # without strata one row
     own = own.filter(F.col(by).isNotNull()).select(*keys, by, "gene_ix", "stored_w", "k", "s")
@@ -131,10 +133,13 @@ def pairwise_reference(d: Dataset, by: str, reference: str, epsilon: float = 1e-
     mid = F.log1p("value") if geometric else F.col("value")
     b, a = F.col("b").cast("double"), k.cast("double")
     cube = lambda t: t * t * t - t
-    own = placed.filter(~is_ref).groupBy("gene_ix", F.col(by).alias("target")).agg(
-        F.sum(a * (F.col("upto") - b / 2)).alias("above"), F.sum("k").alias("k"), F.sum(mid * k).alias("s1"), F.sum(cube(a + b) - cube(b)).alias("tie_more"),
+    per = placed.groupBy("gene_ix", F.col(by).alias("target")).agg(
+        F.sum(a * (F.col("upto") - b / 2)).alias("above"), F.sum("k").alias("k"), F.sum(mid * k).alias("s1"),
+        F.sum(cube(a + b) - cube(b)).alias("tie_more"), F.sum(cube(a)).alias("tie_own"),
     )
-    ref = placed.filter(is_ref).groupBy("gene_ix").agg(F.sum("k").alias("m"), F.sum(mid * k).alias("s2"), F.sum(cube(a)).alias("tie_ref"))
+    per = materialize(per, "pair-sums")  # genes x groups rows, read for the targets and for the reference
+    own = per.filter(F.col("target") != reference).drop("tie_own")
+    ref = per.filter(F.col("target") == reference).select("gene_ix", F.col("k").alias("m"), F.col("s1").alias("s2"), F.col("tie_own").alias("tie_ref"))
     # genes of either side; targets x genes is the size of the result
     pairs = ref.select("gene_ix").crossJoin(targets.select(F.col(by).alias("target"))).unionByName(own.select("gene_ix", "target")).distinct()
     got = pairs.join(own, ["gene_ix", "target"], "left").join(ref, "gene_ix", "left").join(F.broadcast(targets.withColumnRenamed(by, "target")), "target").na.fill(0, ["above", "k", "s1", "tie_more", "m", "s2", "tie_ref"])

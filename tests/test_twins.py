@@ -594,6 +594,8 @@ def test_changes_reach_all_members(spark, small):
     for other in (replace(d, obsp={}), replace(d, varm={"PCs": load.withColumn("loading", F.lit(0.0))}), replace(d, uns={"a": 2})):
         with pytest.raises(order.MergeError):
             order.merge([d, other], [0, 100])
+    audit = {(r["member"], r["name"]): r["status"] for r in order.carry_audit(d, replace(cut, varm={}, uns={"a": 1, "b": 2})).collect()}
+    assert audit[("obsp", "ring")] == "kept" and audit[("varm", "PCs")] == "lost" and audit[("uns", "b")] == "added" and audit[("obs", "grp")] == "kept"
     gone = order.compact(order.delete_cells(d, F.col("cell_ix") == 5))
     assert gone.obsp["ring"].count() == 28 and gone.obs.count() == 29
     dead = order.merge([order.delete_cells(d, F.col("cell_ix") == 5), d], [0, 100])
