@@ -32,14 +32,26 @@ def perturbation_metrics(real: DataFrame, pred: DataFrame, by: str, control: str
     return j.groupBy(by).agg(n.alias("n_genes"), corr.alias("pearson_delta"), F.avg(e * e).alias("mse"), F.avg(F.abs(e)).alias("mae"), F.avg(f * f).alias("mse_delta"), F.avg(F.abs(f)).alias("mae_delta"))
 
 
-def discrimination(real: DataFrame, pred: DataFrame, by: str, control: str) -> DataFrame:
-    """1 - rank / P, where rank counts the real effects nearer (L1) to a predicted effect than its own; ties by name."""
+def discrimination(real: DataFrame, pred: DataFrame, by: str, control: str, metric: str = "l1", exclude: DataFrame | None = None) -> DataFrame:
+    """1 - rank / P, where rank counts the real effects nearer to a predicted effect than its own; ties by name.
+
+    metric: l1, l2 or cosine (1 where an effect is zero). exclude (by, gene_ix): genes left out of a prediction's own
+    comparisons, such as its target. A prediction that is left without genes is an error.
+    """
     a = effects(real, by, control).select(F.col(by).alias("other"), "gene_ix", "delta")
     b = effects(pred, by, control).select(by, "gene_ix", F.col("delta").alias("pd"))
-    d = b.join(a, "gene_ix").groupBy(by, "other").agg(F.round(F.sum(F.abs(F.col("pd") - F.col("delta"))), 9).alias("dist"))
+    if exclude is not None:
+        kept = b.join(exclude.select(by, "gene_ix"), [by, "gene_ix"], "left_anti")
+        if not b.select(by).distinct().join(kept.select(by).distinct(), by, "left_anti").isEmpty():
+            raise ValueError("a prediction has no genes left")
+        b = kept
+    p, d = F.col("pd"), F.col("delta")
+    norm = F.sqrt(F.sum(p * p) * F.sum(d * d))
+    far = {"l1": F.sum(F.abs(p - d)), "l2": F.sqrt(F.sum((p - d) * (p - d))), "cosine": F.when(norm > 0, 1 - F.sum(p * d) / norm).otherwise(F.lit(1.0))}[metric]
+    gaps = b.join(a, "gene_ix").groupBy(by, "other").agg(F.round(far, 9).alias("dist"))
     w = Window.partitionBy(by)
     place = F.row_number().over(w.orderBy("dist", "other")) - 1
-    return d.withColumns({"place": place, "p": F.count("*").over(w)}).filter(F.col(by) == F.col("other")).select(by, F.col("place").cast("long").alias("rank"), (1 - F.col("place") / F.col("p")).alias("score"))
+    return gaps.withColumns({"place": place, "p": F.count("*").over(w)}).filter(F.col(by) == F.col("other")).select(by, F.col("place").cast("long").alias("rank"), (1 - F.col("place") / F.col("p")).alias("score"))
 
 
 def distance(a: Column, b: Column, metric: str) -> Column:

@@ -16,6 +16,7 @@ from lattica.operators import order as O
 from lattica.operators import tokens as K
 from lattica.operators.doublets import normalise
 from lattica.plans.dataset import bind
+from lattica.plans.queries_stats import _DENSE, GROUP, REF, _bulks
 from lattica.plans.registration import ORACLES, query, r
 from lattica.sources.shared import shared_dir
 from lattica.sources.store import Store, shard_statistics, shards_to_read
@@ -208,6 +209,12 @@ def doublet_import(spark, d):
     return normalise(t, "scdblfinder", "k", "barcode")
 
 
+@query(_DENSE + ", tg AS (SELECT * FROM (VALUES ('1-URGENT', 17), ('2-HIGH', 3), ('3-MEDIUM', 45)) v(o_orderpriority, gene_ix)), ds AS (SELECT p.o_orderpriority, r.o_orderpriority AS other, round(1 - sum(p.e * r.e) / sqrt(sum(p.e * p.e) * sum(r.e * r.e)), 9) AS dist FROM (SELECT * FROM pe ANTI JOIN tg USING (o_orderpriority, gene_ix)) p JOIN re r USING (gene_ix) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY o_orderpriority ORDER BY dist, other) - 1 AS place, count(*) OVER (PARTITION BY o_orderpriority) AS n FROM ds) SELECT o_orderpriority, CAST(place AS BIGINT) AS rank, 1 - place / n AS score FROM k WHERE o_orderpriority = other")
+def discrimination_cosine(spark, d):
+    own = spark.createDataFrame([("1-URGENT", 17), ("2-HIGH", 3), ("3-MEDIUM", 45)], f"{GROUP} string, gene_ix long")
+    return M.discrimination(*_bulks(spark, d), GROUP, REF, "cosine", own)
+
+
 # ---- without SQL: tested against plain versions
 
 
