@@ -2,18 +2,13 @@
 
 from __future__ import annotations
 
-import os
-import tempfile
-import zipfile
-
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from lattica.sources.shared import discard, materialize, shared_dir  # noqa: F401
+from lattica.sources.shared import discard, materialize, shared_dir, ship  # noqa: F401
 
-_SHIPPED: set[str] = set()
 #: Rows of an Arrow batch while the session has Spark's default: whole texts make wide rows, and a batch is held
 #: by the JVM and by Python at once.
 BATCH_ROWS = 1000
@@ -22,23 +17,10 @@ _BATCH_SETTING = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Make this package importable in every Python worker, wherever it runs (once per application), and keep batches small."""
-    sc = spark.sparkContext
+    """The package on every executor, and small Arrow batches while the session has Spark's default size."""
     if spark.conf.get(_BATCH_SETTING) == _SPARK_BATCH_ROWS:
         spark.conf.set(_BATCH_SETTING, str(BATCH_ROWS))
-    if sc.applicationId in _SHIPPED:
-        return
-    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(root)
-    target = os.path.join(tempfile.mkdtemp(), f"{name}_code.zip")
-    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
-        for folder, _, files in os.walk(root):
-            for f in files:
-                if f.endswith(".py"):
-                    path = os.path.join(folder, f)
-                    z.write(path, os.path.join(name, os.path.relpath(path, root)))
-    sc.addPyFile(target)
-    _SHIPPED.add(sc.applicationId)
+    ship(spark)
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:
@@ -82,6 +64,9 @@ def append_columns(df: DataFrame, fields: list[StructField], make) -> DataFrame:
         for batch in batches:
             made = work(batch)
             yield pa.RecordBatch.from_arrays([batch.column(i) for i in keep] + list(made), names=names)
+            del batch, made
+        del work
+        pa.default_memory_pool().release_unused()  # the worker lives on between tasks
 
     return df.mapInArrow(run, schema)
 

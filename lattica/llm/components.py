@@ -22,15 +22,21 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     both = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).filter("u <> v")
     both = materialize(both.unionAll(both.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct(), "component-edges")
     now = materialize(both.groupBy("u").agg(F.min("v").alias("v")).select(F.col("u").alias("node"), F.least("u", "v").alias("root")), "component-roots")
-    n = now.count()
+    limit = max(1000, now.count() * HOT_SHARE)
     while True:
         near = both.join(now.select(F.col("node").alias("v"), F.col("root")), "v").groupBy("u").agg(F.min("root").alias("near"))
-        step = materialize(now.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("root", "near").alias("next"), "root"), "component-steps")
-        hot = step.groupBy("next").count().filter(F.col("count") > max(1000, n * HOT_SHARE)).select("next")
-        moved = hot_lookup(step, now.select(F.col("node").alias("next"), F.col("root").alias("far")), "next", hot)
+        step = now.join(near.withColumnRenamed("u", "node"), "node").select("node", F.least("root", "near").alias("next"), "root")
+        jump = now.select(F.col("node").alias("next"), F.col("root").alias("far"))
+        hot_before = not now.groupBy("root").count().filter(F.col("count") > limit / 2).isEmpty()
+        if hot_before:
+            step = materialize(step, "component-steps")
+            moved = hot_lookup(step, jump, "next", step.groupBy("next").count().filter(F.col("count") > limit).select("next"))
+        else:
+            moved = step.join(jump, "next")
         after = moved.select("node", F.least("next", "far").alias("root"), (F.least("next", "far") != F.col("root")).alias("changed"))
         after = materialize(after, "component-roots")
-        discard(step)
+        if hot_before:
+            discard(step)
         discard(now)
         now = after.select("node", "root")
         now.written_to = after.written_to

@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, LongType, StringType, StructField
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, LongType, StringType, StructField
 
 from lattica.llm.common import append_columns, as_bytes, materialize, private, ship_package
 
@@ -165,11 +165,19 @@ def _runs(hit: np.ndarray) -> tuple[list[int], list[int]]:
     return edge[::2].tolist(), edge[1::2].tolist()
 
 
+def _text_bytes(benchmark: DataFrame) -> int:
+    return benchmark.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+
+
+def _broadcast_index(docs: DataFrame, items: DataFrame, n: int):
+    """The window index on all executors. items: within the bound, as the caller has counted."""
+    ship_package(docs.sparkSession)
+    rows = items.collect()
+    return docs.sparkSession.sparkContext.broadcast(WindowIndex([(None if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in rows], n))
+
+
 def _broadcast_hits(docs: DataFrame, items: DataFrame, n: int, text_col: str) -> DataFrame:
-    rows = items.collect()  # within broadcast_bytes, as find_hits has counted
-    index = docs.sparkSession.sparkContext.broadcast(
-        WindowIndex([(None if r[0] is None else str(r[0]), (r[1] or "").encode()) for r in rows], n)
-    )
+    index = _broadcast_index(docs, items, n)
     at = docs.columns.index(text_col)
 
     def make():
@@ -252,8 +260,7 @@ def find_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, text_col:
     """docs with n_words, the runs of hit words (hit_from, hit_to, ends exclusive) and the sorted items found."""
     ship_package(docs.sparkSession)
     items = benchmark.select(item_col, "text")
-    total = items.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    if total <= broadcast_bytes:
+    if _text_bytes(benchmark) <= broadcast_bytes:
         return _broadcast_hits(docs, items, n, text_col)
     return _joined_hits(docs, items, n, text_col)
 
@@ -272,26 +279,48 @@ def cut_runs(text: str, starts: list[int], ends: list[int]) -> str:
 def remove_hits(docs: DataFrame, benchmark: DataFrame, n: int = WINDOW, drop_share: float = 0.5, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
     """docs (columns as given, whatever their names) with every hit run cut out of the text; documents with a hit share of
     at least drop_share go. n_chars, where present, follows the new text. Documents without hits stay as they are."""
-    own, text, clean = private(docs, "own", "text", "clean")
-    inner = docs.select(F.col("text").alias(text), F.struct(*[f"`{c}`" for c in docs.columns]).alias(own))
-    found = find_hits(inner, benchmark, n, text, broadcast_bytes=broadcast_bytes)
-    cut = F.aggregate(F.zip_with("hit_from", "hit_to", lambda a, b: b - a), F.lit(0).cast("long"), lambda x, y: x + y)
-    found = found.filter((F.col("n_words") == 0) | (cut < drop_share * F.col("n_words"))).select(own, text, "hit_from", "hit_to")
+    clean, share, hit = private(docs, "clean", "share", "hit")
+    size = _text_bytes(benchmark)
+    fields = [StructField(clean, StringType()), StructField(share, DoubleType()), StructField(hit, BooleanType())]
+    columns = [f"`{c}`" for c in docs.columns]
+    if size <= broadcast_bytes:
+        source, index, at = docs, _broadcast_index(docs, benchmark.select("item_id", "text"), n), docs.columns.index("text")
+
+        def make():
+            windows = index.value
+
+            def work(batch):
+                out = [], [], []
+                for text in batch.column(at).to_pylist():
+                    words = words_of((text or "").encode("utf-8", "surrogatepass"))
+                    cut, _ = windows.hits(words)
+                    some = bool(cut.any())
+                    for o, v in zip(out, (cut_runs(text, *_runs(cut)) if some else text, float(cut.mean()) if some else 0.0, some)):
+                        o.append(v)
+                return [pa.array(o, t) for o, t in zip(out, (pa.string(), pa.float64(), pa.bool_()))]
+
+            return work
 
-    def make():
-        def work(batch):
-            rows = zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), batch.column(3).to_pylist())
-            return [pa.array([cut_runs(t, a, b) if a else t for t, a, b in rows], pa.string())]
-
-        return work
-
-    after = append_columns(found, [StructField(clean, StringType())], make)
-    hit = F.size("hit_from") > 0
-    new = {c: F.col(f"{own}.`{c}`") for c in docs.columns}
+    else:
+        own, text = private(docs, "own", "text")
+        found = find_hits(docs.select(F.col("text").alias(text), F.struct(*columns).alias(own)), benchmark, n, text, broadcast_bytes=broadcast_bytes)
+        source = found.select(text, "n_words", "hit_from", "hit_to", own)
+
+        def make():
+            def work(batch):
+                out = [], [], []
+                for t, words, a, b in zip(*(batch.column(i).to_pylist() for i in range(4))):
+                    for o, v in zip(out, (cut_runs(t, a, b) if a else t, (sum(b) - sum(a)) / words if a else 0.0, bool(a))):
+                        o.append(v)
+                return [pa.array(o, t) for o, t in zip(out, (pa.string(), pa.float64(), pa.bool_()))]
+
+            return work
+
+    after = append_columns(source, fields, make).filter(F.col(share) < drop_share)
+    new = {c: F.col(f"`{c}`" if source is docs else f"{own}.`{c}`") for c in docs.columns}
     new["text"] = F.col(clean)
     if "n_chars" in new:
-        length = F.char_length(clean).cast(docs.schema["n_chars"].dataType)
-        new["n_chars"] = F.when(hit, length).otherwise(new["n_chars"])
+        new["n_chars"] = F.when(F.col(hit), F.char_length(clean).cast(docs.schema["n_chars"].dataType)).otherwise(new["n_chars"])
     return after.select(*[v.alias(c) for c, v in new.items()])
 
 
