@@ -473,6 +473,27 @@ def test_pii_of_clashing_and_empty_tables(spark):
     assert pii.scan(df.limit(0)).count() == 0
 
 
+def test_repeats_in_document_text(spark):
+    """A phone number planted once in full and twice in short in the tables' own texts: the short ones are found by the
+    links alone. Texts without any base span stay unmarked."""
+    r, field = np.random.default_rng(4), pii.trained_field()
+    num = lambda k: "".join(map(str, r.integers(0, 10, k)))
+    found = total = marked = clean = 0
+    for row in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").filter("n_chars BETWEEN 200 AND 5000").limit(300).collect():
+        base, spans = pii.scan_text(row["text"], field)
+        clean, marked = clean + (not base), marked + (not base and bool(spans))
+        area, a, b = num(3), num(3), num(4)
+        words = row["text"].split(" ")
+        for form in (f"+{r.integers(1, 99)} ({area}) {a}-{b}", f"{a}-{b}", f"{a}-{b}"):
+            words.insert(int(r.integers(len(words) + 1)), form)
+        text = " ".join(words)
+        spans = pii.scan_text(text, field)[1]
+        for m in re.finditer(rf"(?<!\) ){a}-{b}", text):
+            total += 1
+            found += any(x <= m.start() and m.end() <= y and k == "phone" for x, y, k in spans)
+    assert found >= 0.95 * total and marked <= 0.01 * clean and clean > 100
+
+
 # ---- pages
 
 
@@ -493,7 +514,7 @@ def test_page_text_of_generated_pages():
 def test_page_text_of_the_tables(spark):
     from html import unescape
 
-    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     for row in html.extract(pages).collect():
         a = row["html"][row["html"].index("<article>") + 9 : row["html"].rindex("</article>")]
         blocks = (" ".join(unescape(re.sub(r"<[^>]*>", "", b)).split()) for b in re.split(r"<(?:/?(?:p|h1|article|div|ul|li|table|tr|td)|br)[^>]*>", a))
