@@ -10,7 +10,7 @@ from lattica.operators import attach as J
 from lattica.operators import order as O
 from lattica.operators import tokens as K
 from lattica.plans.dataset import bind
-from lattica.plans.registration import query, r
+from lattica.plans.registration import ORACLES, query, r
 
 
 def _table(spark, d, t):
@@ -85,7 +85,11 @@ def group_block_sizes(spark, d):
     return O.group_shards(bind(spark, d), "n_name", "NATION_3", 1500).select("n_name", "n_cells")
 
 
-@query()
+@query("""
+, s AS (SELECT n_name, n, n_name <> 'NATION_3' AS other, row_number() OVER (ORDER BY n_name <> 'NATION_3', n_name) AS i FROM (SELECT n_name, count(*) AS n FROM obs GROUP BY 1)),
+t AS (SELECT i, n_name, n, other, CAST(0 AS BIGINT) AS shard, n AS used FROM s WHERE i = 1
+  UNION ALL SELECT s.i, s.n_name, s.n, s.other, CASE WHEN s.other <> t.other OR t.used + s.n > 1500 THEN t.shard + 1 ELSE t.shard END, CASE WHEN s.other <> t.other OR t.used + s.n > 1500 THEN s.n ELSE t.used + s.n END FROM t JOIN s ON s.i = t.i + 1)
+SELECT n_name, CAST(n AS BIGINT) AS n_cells, shard FROM t""")
 def group_shard_plan(spark, d):
     return O.group_shards(bind(spark, d), "n_name", "NATION_3", 1500)
 
@@ -254,8 +258,13 @@ def downsample_counts(spark, d):
     return K.downsample(bind(spark, d).matrix(), 50, 1)
 
 
-@query()
+@query(", t AS (SELECT cell_ix, gene_ix, value, row_number() OVER (PARTITION BY cell_ix ORDER BY value DESC, gene_ix) AS rn FROM x) SELECT cell_ix % 100 AS set_id, cell_ix, string_agg(gene_ix, ',' ORDER BY rn) || repeat(',-1', CAST(4 - count(*) AS INT)) AS ids, string_agg(CAST(round(ln(1 + value) * 1e6) AS BIGINT), ',' ORDER BY rn) || repeat(',0', CAST(4 - count(*) AS INT)) AS micros, CAST(4 - count(*) AS INT) AS n_padded FROM t SEMI JOIN obs USING (cell_ix) WHERE rn <= 4 GROUP BY cell_ix")
 def collate_cell_sets(spark, d):
     data = bind(spark, d)
     sets = data.obs.select((F.col("cell_ix") % 100).alias("set_id"), "cell_ix")
-    return K.collate_sets(data.matrix(), sets, 4, -1)
+    out = K.collate_sets(data.matrix(), sets, 4, -1)
+    micros = F.transform("values", lambda v: F.round(v * 1e6).cast("long").cast("string"))
+    return out.select("set_id", "cell_ix", F.array_join(F.transform("ids", lambda g: g.cast("string")), ",").alias("ids"), F.array_join(micros, ",").alias("micros"), F.size(F.filter("padded", lambda p: p)).alias("n_padded"))
+
+
+ORACLES["group_shard_plan"] = ORACLES["group_shard_plan"].replace("WITH obs", "WITH RECURSIVE obs", 1)

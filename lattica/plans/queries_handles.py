@@ -10,7 +10,7 @@ from lattica.operators import metrics as M
 from lattica.operators import ranking as R
 from lattica.operators.doublets import consensus
 from lattica.plans.dataset import Dataset, bind
-from lattica.plans.queries_stats import _RANKS
+from lattica.plans.queries_stats import _RANKS, _WILCOXON
 from lattica.plans.registration import query, r
 
 
@@ -93,9 +93,13 @@ def pairwise_cpm_filter(spark, d):
     return R.pairwise_reference(bind(spark, d), "o_orderpriority", "5-LOW", cpm_filter=700).groupBy("target").agg(F.count("*").alias("n_genes"))
 
 
-@query()
+@query(_WILCOXON.format(tie="0") + """
+, gn AS (SELECT o_orderpriority, count(*) AS ng FROM obs GROUP BY 1), kk AS (SELECT o_orderpriority, gene_ix, count(*) AS k FROM x JOIN obs USING (cell_ix) GROUP BY 1, 2), ka AS (SELECT gene_ix, sum(k) AS ka FROM kk GROUP BY 1)
+SELECT o_orderpriority, gene_ix, round(score, 5) AS score, round(logfoldchange, 6) AS logfoldchange, round(coalesce(k, 0) / ng, 9) AS pts, round((ka - coalesce(k, 0)) / ((SELECT count(*) FROM obs) - ng), 9) AS pts_rest
+FROM res JOIN gn USING (o_orderpriority) JOIN ka USING (gene_ix) LEFT JOIN kk USING (o_orderpriority, gene_ix) WHERE logfoldchange > 0.001""")
 def ranking_extracted(spark, d):
-    return R.extract(R.rank_genes_groups(bind(spark, d), "o_orderpriority", pts=True), pval_cutoff=1.01, log2fc_min=0.0)
+    out = R.extract(R.rank_genes_groups(bind(spark, d), "o_orderpriority", pts=True), pval_cutoff=1.01, log2fc_min=0.001)
+    return out.select("o_orderpriority", "gene_ix", r("score", 5).alias("score"), r("logfoldchange").alias("logfoldchange"), r("pts", 9).alias("pts"), r("pts_rest", 9).alias("pts_rest"))
 
 
 @query()

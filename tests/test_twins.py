@@ -25,8 +25,8 @@ TINY = "/root/testdata/sf0.001"
 
 #: Queries without SQL, and the test that holds their operator against a plain version.
 TWINS = {
-    "group_shard_plan": "test_engine.test_group_shards", "shuffle_cells": "test_shuffle_is_a_seeded_permutation", "sample_genes": "test_engine.test_tokens",
-    "downsample_counts": "test_downsampling", "collate_cell_sets": "test_collated_sets", "rank_genes_groups": "test_rank_genes_groups", "ranking_extracted": "test_rank_genes_groups",
+    "shuffle_cells": "test_shuffle_is_a_seeded_permutation", "sample_genes": "test_engine.test_tokens",
+    "downsample_counts": "test_downsampling",
     "highly_variable_loess": "test_highly_variable_genes", "highly_variable_loess_batches": "test_highly_variable_genes", "highly_variable_paper": "test_highly_variable_genes",
     "control_genes": "test_control_genes", "agreement_sweep": "test_agreement_of_equal_clusterings", "pairwise_nb_regression": "test_regressions_over_pseudobulk",
     "pseudobulk_regression": "test_regressions_over_pseudobulk", "neighbour_connectivities": "test_connectivities", "lisi_scores": "test_lisi", "leiden_clusters": "test_leiden",
