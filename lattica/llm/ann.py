@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BinaryType, DoubleType, IntegerType, LongType, StructField, StructType
 
-from lattica.llm.common import discard, materialize, ship_package
+from lattica.llm.common import discard, materialize, ship_package, smallest_hashes
 
 #: Bytes of query vectors that are broadcast at a time.
 QUERY_BYTES = 16_000_000
@@ -345,7 +345,7 @@ def _search(pool: DataFrame, d: int, every: int, k: int, probes: int | None, que
         return None
     most = max(1, SAMPLE_BYTES // (8 * d))
     lists = max(1, min(MAX_LISTS, int(n**0.5), most // 16))
-    sample = pool.orderBy(F.xxhash64("vec_id"), "vec_id", "vec").limit(min(most, 16 * lists + FLOOR_ROWS)).toArrow()  # at most SAMPLE_BYTES
+    sample = smallest_hashes(pool, "vec_id", min(most, 16 * lists + FLOOR_ROWS), n, "vec").toArrow()  # at most SAMPLE_BYTES
     known, known_ids = _table_matrix(sample, "vec", d), sample["vec_id"].to_numpy()
     c = centroids(known, lists)
     index = build(pool, d, c)
@@ -353,7 +353,7 @@ def _search(pool: DataFrame, d: int, every: int, k: int, probes: int | None, que
     for r in index.groupBy("list").agg(F.max("length").alias("r")).collect():  # at most MAX_LISTS rows
         radius[r["list"]] = r["r"]
     if probes is None:
-        some = queries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(CALIBRATION).toArrow()
+        some = smallest_hashes(queries, "vec_id", CALIBRATION, asked).toArrow()
         probes = probes_for(index, some["vec_id"].to_numpy(), _table_matrix(some, "vec", d), c, k)
     blocks = max(1, -(-asked * 8 * d // query_bytes))
     parts = []

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
@@ -77,3 +77,15 @@ def hot_lookup(rows: DataFrame, table: DataFrame, key: str, hot: DataFrame) -> D
     few = F.broadcast(table.join(F.broadcast(hot.select(key)), key, "left_semi"))
     apart = F.broadcast(hot.select(key))
     return rows.join(apart, key, "left_anti").join(table, key).unionByName(rows.join(few, key))
+
+
+def hash_order(key: str) -> Column:
+    """A number below 2^30 that deals keys at random, the same way each time."""
+    return F.pmod(F.xxhash64(key), F.lit(1 << 30))
+
+
+def smallest_hashes(rows: DataFrame, key: str, want: int, total: int, *ties: str) -> DataFrame:
+    """The `want` rows of smallest hash_order(key) of `total`. Rows whose hash is far too large to be among them are left
+    out before the sort, so each task brings about 2 x want / total of its own rows and not `want`."""
+    share = min(1.0, (2 * want + 1000) / max(1, total))
+    return rows.filter(hash_order(key) < int(share * (1 << 30))).orderBy(hash_order(key), key, *ties).limit(want)

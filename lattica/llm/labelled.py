@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from lattica.llm.common import materialize
+from lattica.llm.common import hash_order, materialize, smallest_hashes
 
 #: So many labelled documents are learned from at most: those with the smallest hash of their id.
 MAX_LABELLED = 6000
@@ -27,12 +27,12 @@ def sample(docs: DataFrame, labels: DataFrame, target: str, limit: int = MAX_LAB
         labels.select("doc_id", F.col(target).cast("int").alias("y"))
         .filter(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out())
         .groupBy("doc_id").agg(F.max("y").alias("y"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(limit)
     )
+    known = smallest_hashes(known, "doc_id", limit, known.count())
     # at most `limit` rows of two numbers are broadcast
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).join(F.broadcast(known), "doc_id")
     one = materialize(rows.groupBy("doc_id").agg(F.min("text").alias("text"), F.max("y").alias("y")), "labelled")
     # numbers of at most `limit` rows in one window
-    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
+    so_far = F.sum(F.octet_length("text")).over(Window.orderBy(hash_order("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0))
     fits = one.select("doc_id", so_far.alias("total")).filter(F.col("total") <= max_bytes).select("doc_id")
     return one.join(F.broadcast(fits), "doc_id", "left_semi").select("doc_id", "text", "y")
