@@ -38,69 +38,121 @@ def dispersion_bins(moments: DataFrame, n_bins: int = 20) -> DataFrame:
     return m.select("gene_ix", "log_mean", "dispersion", "bin", z.alias("dispersion_norm"))
 
 
-def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3) -> np.ndarray:
-    """Local quadratic regression with tricube weights over each point's nearest span of the points, solved at every x."""
-    n = len(x)
-    if not n:
+def _moved(m: np.ndarray, d: np.ndarray) -> np.ndarray:
+    """Sums of powers (row r: of the r-th power) of differences from a centre, turned into those from a centre d before it."""
+    for i in range(1, len(m)):
+        m[i:] += d * m[i - 1 : -1]
+    return m
+
+
+def loess(x: np.ndarray, y: np.ndarray, span: float = 0.3, count: np.ndarray | None = None) -> np.ndarray:
+    """Local quadratic regression with tricube weights over each point's nearest span of the points, solved at every x.
+
+    count: how many points stand for each (x, mean y). The tricube is a polynomial on either side of a point, so a fit
+    needs sums of powers only: a tree over the sorted points holds them about each node's own middle, and a window is at
+    most two nodes a level. Windows aren't walked through: n points take n log n steps. All terms stay within the
+    window's width, so no digits cancel. Points at the window's very edge have no weight.
+    """
+    if not len(x):
         return np.zeros(0)
+    count = np.ones(len(x), np.int64) if count is None else np.asarray(count, np.int64)
+    xs, back = np.unique(x, return_inverse=True)
+    size, total = np.bincount(back, count), np.bincount(back, count * y)
+    group = np.repeat(np.arange(len(xs)), size.astype(np.int64))
+    n, m, low = len(group), len(xs), xs[0]
+    scale = xs[-1] - low or 1.0
+    xs = (xs - low) / scale
     k = min(n, max(4, int(np.ceil(span * n))))
-    order = np.argsort(x, kind="stable")
-    xs, ys, at = x[order], y[order], np.empty(n)
-    low, starts = 0, np.empty(n, np.int64)  # the window of the k nearest moves up with the point
-    for i, p in enumerate(xs):
-        while low + k < n and xs[low + k] - p < p - xs[low]:
-            low += 1
-        starts[i] = low
-    views = np.lib.stride_tricks.sliding_window_view(xs, k), np.lib.stride_tricks.sliding_window_view(ys, k)
-    for i in range(0, n, 64):
-        part = slice(i, min(n, i + 64))
-        a, b = views[0][starts[part]] - xs[part, None], views[1][starts[part]]
-        h = np.maximum(np.abs(a).max(1), 1e-12)[:, None] * 1.000001
-        a = a / h
-        w = (1 - np.abs(a) ** 3) ** 3
-        powers = [w]
-        for _ in range(4):
-            powers.append(powers[-1] * a)
-        m = np.stack([p.sum(1) for p in powers], 1)
-        left = np.stack([m[:, [0, 1, 2]], m[:, [1, 2, 3]], m[:, [2, 3, 4]]], 1)
-        right = np.stack([(p * b).sum(1) for p in powers[:3]], 1)
+    # the window of the k nearest begins where the next point above is no nearer than the first one
+    start = np.searchsorted(xs[group[k:]] + xs[group[: n - k]], 2 * xs)
+    first, last = group[start], group[start + k - 1]
+    below, above = xs - xs[first], xs[last] - xs
+    far = np.maximum(below, above)
+    first = first + ((below >= far) & (far > 0))
+    last = last - ((above >= far) & (far > 0))
+    h = np.maximum(far, 1e-12) * 1.000001
+
+    levels = [(xs, np.zeros((14, m)), np.zeros((12, m)))]  # middle, sums of powers, and of y times powers
+    levels[0][1][0], levels[0][2][0] = size, total
+    left, right = xs, xs
+    while len(levels[-1][0]) > 1:
+        mid, p, q = levels[-1]
+        odd = len(mid) % 2
+        up_left, up_right = left[::2], np.append(right[1::2], right[-1:]) if odd else right[1::2]
+        up = (up_left + up_right) / 2
+        a, b = [_moved(z[:, ::2].copy(), mid[::2] - up) for z in (p, q)], [_moved(z[:, 1::2].copy(), mid[1::2] - up[: len(mid) // 2]) for z in (p, q)]
+        for one, other in zip(a, b):
+            one[:, : other.shape[1]] += other
+        levels.append((up, *a))
+        left, right = up_left, up_right
+
+    out, places = np.empty(m), np.arange(m)
+    for i in range(0, m, 8192):
+        part = slice(i, min(m, i + 8192))
+        moments = np.zeros((5, part.stop - i)), np.zeros((3, part.stop - i))
+        for lo, hi, sign in ((first[part], places[part], 1), (places[part], last[part] + 1, -1)):
+            lo, hi = lo.copy(), hi.copy()
+            sums = np.zeros((14, len(lo))), np.zeros((12, len(lo)))
+            for mid, *held in levels:
+                live = lo < hi
+                if not live.any():
+                    break
+                for at, node in ((np.flatnonzero(live & (lo % 2 == 1)), lo), (np.flatnonzero(live & (hi % 2 == 1)), hi - 1)):
+                    if len(at):
+                        w, d = h[part][at], (mid[node[at]] - xs[part][at]) / h[part][at]
+                        for s, z in zip(sums, held):
+                            s[:, at] += _moved(z[:, node[at]] / w ** np.arange(len(z))[:, None], d)
+                lo, hi = (lo + 1) // 2, hi // 2
+            for got, s in zip(moments, sums):
+                got += s[: len(got)] + 3 * sign * s[3 : 3 + len(got)] + 3 * s[6 : 6 + len(got)] + sign * s[9 : 9 + len(got)]
+        u = moments[0]
+        matrix = np.stack([u[[0, 1, 2]], u[[1, 2, 3]], u[[2, 3, 4]]]).transpose(2, 0, 1)
         # few distinct places: the solution of least length
-        at[part] = (np.linalg.pinv(left, rcond=1e-10, hermitian=True) @ right[:, :, None])[:, 0, 0]
-    out = np.empty(n)
-    out[order] = at
-    return out
+        out[part] = (np.linalg.pinv(matrix, rcond=1e-10, hermitian=True) @ moments[1].T[:, :, None])[:, 0, 0]
+    return out[back]
 
 
 def variance_stabilised(d: Dataset, n_top: int = 2000, span: float = 0.3, batch: str | None = None, flavor: str = "seurat_v3") -> DataFrame:
     """Highly variable genes by standardised variance after a loess fit of log variance on log mean.
 
-    The fit runs on the driver over one row a gene (genes are bounded, some 10^5 at most); both passes over values are
-    aggregations. With batches, genes are ordered by the median of their ranks, then by the number of batches they are
-    among the top in; with flavor seurat_v3_paper by that number first.
+    The fit runs on the driver over one row a batch and distinct mean, with the number of genes that have it; both passes
+    over values are aggregations. With batches, genes are ordered by the median of their ranks, then by the number of
+    batches they are among the top in; with flavor seurat_v3_paper by that number first.
     """
+    import pyarrow as pa
+
+    from lattica.sources.shared import materialize
+
     keys = ["gene_ix"] if batch is None else ["gene_ix", batch]
-    moments = sample_moments(d, batch=batch).filter("var > 0").select(*keys, "n_cells", "mean", "var").toPandas()
-    parts = []
-    for _, g in moments.groupby(batch) if batch else [(None, moments)]:
-        g = g.sort_values("gene_ix").copy()
-        g["reg_std"] = np.sqrt(10 ** loess(np.log10(g["mean"].to_numpy()), np.log10(g["var"].to_numpy()), span))
-        g["clip"] = g["reg_std"] * np.sqrt(g["n_cells"]) + g["mean"]
-        parts.append(g)
-    import pandas as pd
-
-    fit = d.spark.createDataFrame(pd.concat(parts))
+    own = keys[1:]
+    moments = sample_moments(d, batch=batch).filter("var > 0").select(*keys, "n_cells", "mean", "var")
+    # the means are read twice and must be the same
+    moments = materialize(moments.dropna(subset=own) if own else moments, "moments")
+    points = moments.groupBy(*own, "mean").agg(F.count("*").alias("k"), F.avg(F.log10("var")).alias("y")).toArrow()
+    mean, k, y = (points[c].to_numpy() for c in ("mean", "k", "y"))
+    code = points[batch].combine_chunks().dictionary_encode().indices.to_numpy() if own else np.zeros(len(mean), int)
+    std = np.empty(len(mean))
+    for c in np.unique(code):
+        at = code == c
+        std[at] = np.sqrt(10 ** loess(np.log10(mean[at]), y[at], span, k[at]))
+    curve = d.spark.createDataFrame(points.select([*own, "mean"]).append_column("reg_std", pa.array(std)))
+    fit = moments.join(curve, [*own, "mean"]).withColumn("clip", F.col("reg_std") * F.sqrt("n_cells") + F.col("mean"))
     x = d.matrix() if batch is None else d.matrix().join(d.read_obs(batch), "cell_ix")
     c = F.least("value", "clip")
     sums = x.join(fit.select(*keys, "clip"), keys).groupBy(*keys).agg(F.sum(c).alias("s"), F.sum(c * c).alias("q"))
     n = F.col("n_cells").cast("double")
     norm = (n * F.col("mean") * F.col("mean") + F.col("q") - 2 * F.col("mean") * F.col("s")) / ((n - 1) * F.col("reg_std") * F.col("reg_std"))
-    out = fit.join(sums, keys).withColumn("variance_norm", norm)
-    place = Window.orderBy(F.desc("variance_norm"), "gene_ix") if batch is None else Window.partitionBy(batch).orderBy(F.desc("variance_norm"), "gene_ix")
-    ranked = out.withColumn("r", F.row_number().over(place) - 1)
-    best = ranked.groupBy("gene_ix").agg(F.median(F.when(F.col("r") < n_top, F.col("r"))).alias("median_rank"), F.sum((F.col("r") < n_top).cast("long")).alias("n_batches"), F.avg("variance_norm").alias("variance_norm"))
+    out = materialize(fit.join(sums, keys).select(*keys, norm.alias("variance_norm")), "variances")
+    order = F.desc("variance_norm"), F.col("gene_ix")
+    best = out if own else out.orderBy(*order).limit(n_top)
+    top = best.withColumn("r", F.row_number().over(Window.partitionBy(*own).orderBy(*order))).filter(F.col("r") <= n_top)
+    top = top.groupBy("gene_ix").agg(F.median(F.col("r") - 1).alias("median_rank"), F.count("*").alias("n_batches"))
     rank, often = F.col("median_rank").asc_nulls_last(), F.desc("n_batches")
+    # n_top rows a batch at most, and never fewer than are marked
     final = Window.orderBy(*{"seurat_v3": (rank, often), "seurat_v3_paper": (often, rank)}[flavor], "gene_ix")
-    return best.withColumn("highly_variable", F.row_number().over(final) <= n_top)
+    top = top.withColumn("highly_variable", F.row_number().over(final) <= n_top)
+    every = out.groupBy("gene_ix").agg(F.avg("variance_norm").alias("variance_norm")).join(top, "gene_ix", "left")
+    return every.select("gene_ix", "median_rank", F.coalesce("n_batches", F.lit(0)).alias("n_batches"), "variance_norm", F.coalesce("highly_variable", F.lit(False)).alias("highly_variable"))
 
 
 def expression_bins(moments: DataFrame, n_bins: int = 25) -> DataFrame:

@@ -222,6 +222,26 @@ def test_loess_is_exact_at_every_point():
     assert np.abs(features.loess(x, y) - plain_loess(x, y)).max() < 1e-6
 
 
+def test_loess_of_many_points_and_of_counted_ones():
+    """A window of many points isn't walked through, and (x, mean y, count) gives what the repeated points give."""
+    import time
+
+    r = np.random.default_rng(4)
+    x = np.concatenate([r.exponential(1, 60_000) ** 3, r.normal(0, 1, 60_000)])
+    y = np.sin(x) + r.normal(0, 0.1, len(x))
+    began = time.process_time()
+    got = features.loess(x, y)
+    assert time.process_time() - began < 40
+    k = math.ceil(0.3 * len(x))
+    for i in (0, 1, 59_999, 60_000, 119_999, int(x.argmax()), int(x.argmin())):
+        near = np.argpartition(np.abs(x - x[i]), k - 1)[:k]
+        a = (x[near] - x[i]) / (np.abs(x[near] - x[i]).max() * 1.000001)
+        w = np.sqrt((1 - np.abs(a) ** 3) ** 3)
+        assert got[i] == pytest.approx(np.linalg.lstsq(np.stack([np.ones(k), a, a * a], 1) * w[:, None], y[near] * w, rcond=None)[0][0], abs=1e-8)
+    places, count, mean = np.sort(r.normal(0, 1, 80)), r.integers(1, 9, 80), r.normal(0, 1, 80)
+    assert np.abs(features.loess(places, mean, 0.4, count) - plain_loess(np.repeat(places, count), np.repeat(mean, count), 0.4)[np.cumsum(count) - 1]).max() < 1e-6
+
+
 def test_highly_variable_genes(spark):
     r = np.random.default_rng(1)
     m = r.negative_binomial(2, 0.4, (90, 60)).astype(float) * (r.random((90, 60)) < 0.7)
