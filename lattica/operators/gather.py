@@ -98,8 +98,9 @@ def pdex_nb_glm(d: Dataset, by: str, reference: str, replicate: str, min_cells:
     from lattica.operators.aggregates import pseudobulk
     from lattica.operators.nb_glm import pseudobulk_dex
     from lattica.operators.ranking import benjamini_hochberg
+    from lattica.sources.shared import materialize
 
-    bulk = pseudobulk(d, [replicate, by], total=True, min_cells=min_cells)
+    bulk = materialize(pseudobulk(d, [replicate, by], total=True, min_cells=min_cells), "bulk")
     out = None
     for g in sorted(r[0] for r in d.read_obs(by).select(by).distinct().collect() if r[0] not in (None, reference)):
         one = pseudobulk_dex(bulk, replicate, by, reference, g).select(F.lit(g).alias("target"), F.col("gene").alias("feature"), "base_mean", F.col("log2fc").alias("fold_change"), F.col("stat").alias("statistic"), "pval")

@@ -319,6 +319,52 @@ def test_regressions_over_pseudobulk(spark):
     assert all(pair.loc[g, "pval_adj"] == pytest.approx(v) for g, v in adjusted.items())
 
 
+def plain_nb_fit(y, design, offset):
+    """One gene's coefficients and dispersion, by Newton steps and a fine grid."""
+    beta, alpha = np.array([math.log((y / np.exp(offset)).mean()), 0.0]), 0.1
+    for _ in range(200):
+        mu = np.exp(design @ beta + offset)
+        w = mu / (1 + alpha * mu)
+        beta = np.linalg.solve((design * w[:, None]).T @ design + glm.RIDGE * np.eye(2), design.T @ (w * (design @ beta + (y - mu) / mu)))
+
+    def likelihood(t):
+        q, w = math.exp(-t), mu / (1 + math.exp(t) * mu)
+        each = sum(math.lgamma(v + q) - math.lgamma(q) + q * math.log(q / (q + m)) + v * math.log(m / (q + m)) for v, m in zip(y, mu))
+        return each - 0.5 * np.linalg.slogdet((design * w[:, None]).T @ design)[1]
+
+    return beta, math.exp(max(np.linspace(math.log(1e-3), math.log(10), 4000), key=likelihood))
+
+
+def test_genes_fitted_together_are_those_fitted_alone():
+    r = np.random.default_rng(9)
+    design, offset = np.stack([np.ones(16), np.arange(16) % 2.0], 1), r.normal(0, 0.2, 16)
+    y = r.negative_binomial(2, 0.2, (12, 16)).astype(float) + (np.arange(16) == 0)
+    start = np.stack([np.log((y / np.exp(offset)).mean(1)), np.zeros(12)], 1)
+    beta, mu, _ = glm.fit_beta(y, design, offset, np.full(12, 0.1), start)
+    alpha = glm.fit_alpha(y, design, mu)
+    for i in range(12):
+        b, a = plain_nb_fit(y[i], design, offset)
+        assert np.allclose(beta[i], b, atol=1e-5) and alpha[i] == pytest.approx(a, rel=0.01)
+
+
+def no_rows_as_pandas(*_):
+    raise AssertionError("the table of genes and samples is collected")
+
+
+def regression_data(spark):
+    m = np.random.default_rng(7).negative_binomial(5, 0.3, (60, 30)).astype(float)
+    m[:, 4] = 0
+    d = made(spark, m, ["t", "ref", "u"] * 20)
+    return replace(d, obs=d.obs.withColumn("rep", F.concat(F.lit("s"), F.floor(F.col("cell_ix") / 15).cast("string"))))
+
+
+def test_pseudobulk_regression_collects_no_samples(spark, monkeypatch):
+    d = regression_data(spark)
+    bulk = aggregates.pseudobulk(d, ["rep", "grp"], total=True)
+    monkeypatch.setattr(type(bulk), "toPandas", no_rows_as_pandas)
+    assert {r["gene"] for r in glm.pseudobulk_dex(bulk, "rep", "grp", "ref", "t").collect()} == {str(j) for j in range(30) if j != 4}
+
+
 # ---- embeddings and graphs
 
 
