@@ -365,6 +365,13 @@ def test_pseudobulk_regression_collects_no_samples(spark, monkeypatch):
     assert {r["gene"] for r in glm.pseudobulk_dex(bulk, "rep", "grp", "ref", "t").collect()} == {str(j) for j in range(30) if j != 4}
 
 
+def test_pairwise_regressions_collect_no_samples(spark, monkeypatch):
+    d = regression_data(spark)
+    monkeypatch.setattr(type(d.x), "toPandas", no_rows_as_pandas)
+    rows = gather.pdex_nb_glm(d, "grp", "ref", "rep", 1).collect()
+    assert {(r["target"], r["feature"]) for r in rows} == {(t, str(j)) for t in "tu" for j in range(30) if j != 4}
+
+
 # ---- embeddings and graphs
 
 
