@@ -403,6 +403,21 @@ def test_randomized_pca(spark):
         embedding.pca(d, 41)
 
 
+def test_randomized_pca_of_many_genes_collects_none_as_rows(spark, monkeypatch):
+    r = np.random.default_rng(5)
+    m, some = np.zeros((30, 70_000)), r.choice(70_000, 400, replace=False)
+    m[:, some] = np.maximum(0, np.rint(r.normal(0, 1, (30, 3)) @ (r.normal(0, 1, (3, 400)) * np.array([9, 6, 3])[:, None]) + r.normal(0, 0.5, (30, 400))))
+    d = made(spark, m, [None] * 30)
+    with monkeypatch.context() as held:
+        for name in ("collect", "toPandas"):
+            held.setattr(type(d.x), name, no_rows_as_pandas)
+        scores, load, values = embedding.pca(d, 2, method="randomized")
+    c = m - m.mean(0)
+    _, w, v = np.linalg.svd(c, full_matrices=False)
+    assert np.allclose(values, w[:2] ** 2 / 29, rtol=1e-3) and np.allclose(np.abs(load @ v[:2].T), np.eye(2), atol=0.02)
+    assert np.allclose(np.stack([x["vec"] for x in scores.orderBy("cell_ix").collect()]), c @ load.T)
+
+
 def blobs(seed=3, n=600, k=8):
     r = np.random.default_rng(seed)
     of = np.where(r.random(n) < 0.35, 0, r.integers(0, k, n))
