@@ -277,6 +277,17 @@ def test_highly_variable_genes(spark):
         assert all(got.loc[j, "n_batches"] == len(ranks.get(j, ())) for j in every)
 
 
+@pytest.mark.parametrize("flavor", ["seurat_v3", "seurat_v3_paper"])
+def test_batches_are_fitted_at_distinct_means(spark, monkeypatch, flavor):
+    m = np.random.default_rng(3).integers(0, 3, (12, 80)).astype(float)
+    batch, asked, fit = ["p", "q"] * 6, [], features.loess
+    monkeypatch.setattr(features, "loess", lambda x, *a: asked.append(len(x)) or fit(x, *a))
+    rows = features.variance_stabilised(made(spark, m, batch), n_top=5, batch="grp", flavor=flavor).collect()
+    parts = [m[i::2] for i in range(2)]
+    assert sorted(asked) == sorted(len(np.unique(x.sum(0)[x.var(0) > 0])) for x in parts)
+    assert sum(r["highly_variable"] for r in rows) == 5 and len(rows) == int(((parts[0].var(0) > 0) | (parts[1].var(0) > 0)).sum())
+
+
 def test_control_genes(spark, small):
     m, _, d = small
     bins = features.expression_bins(aggregates.sample_moments(d), 4)
